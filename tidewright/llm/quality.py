@@ -52,12 +52,13 @@ def log_ratio(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, buckets), np.int64)
-        for b in batches:
-            for t, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(ngram_buckets(t, buckets), minlength=buckets)
-                sums[0] += n
-                if good:
-                    sums[1] += n
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                part = whole.slice(k, 500)
+                for good in (False, True):
+                    texts = part.filter(part.column(1)).column(0) if good else part.column(0)
+                    if len(texts):
+                        sums[int(good)] += np.bincount(np.concatenate([ngram_buckets(t, buckets) for t in texts.to_pylist()]), minlength=buckets)
         if sums.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(sums[0]), pa.array(sums[1])], ["b", "raw", "good"])
 

@@ -15,6 +15,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTEXT = 48
-NAME = r"(?:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential|bearer)"
-CANDIDATE = re.compile(
-    rf"(?P<assigned>(?i:\b[\w.-]{{0,20}}{NAME}[\w.-]{{0,20}})\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<value>[^\s\"'`<>;,)&#]{{8,512}}))"
-    r"|(?P<prefixed>\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}))"
-    r"|(?P<header>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
-    r"|(?P<bare>(?<![\w+/=.-])(?=[\w+/=-]*\d)[A-Za-z0-9+/=_-]{24,512}(?![\w+/=-]))"
-)
+NAME = r"(?:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|bearer)"
+ASSIGNED = re.compile(rf"(?i:{NAME})[\w.-]{{0,20}}\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<value>[^\s\"'`<>;,)&#]{{8,512}})")
+PREFIXED = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[A-Za-z0-9]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
+HEADER = re.compile(r"(?P<value>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)")
+BARE = re.compile(r"(?<![\w+/=.-])(?P<value>[A-Za-z0-9+/=_-]{24,512})(?![\w+/=-])")
+# A text without any of a kind's stems, in lower case for the first, has no candidate of that kind.
+ASSIGNED_STEMS = ("token", "secret", "pass", "pwd", "key", "credential", "bearer")
+PREFIXED_STEMS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ")
 # Words that real secrets seldom hold, and words that mark a neighbour as telling for or against.
 DICTIONARY = "the and for you with that this from have example sample test token secret password change default user name null none true false your value here insert admin root login data file path home index image static assets build main config local http https www com org net version release commit revision checksum digest uuid class public return function string number object array key api access client server service project account email phone date time".split()
 FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "credential", "bearer", "auth", "private")
@@ -38,9 +40,27 @@ AGAINST_WORDS = ("example", "sample", "test", "dummy", "placeholder", "your", "s
 FEATURES = ("length", "entropy", "changes", "digits", "upper", "lower", "symbols", "hex", "longest_run", "distinct", "covered", "slashes", "path", "named", "known_prefix", "words_for", "words_against")
 
 
-def kind_of(m: re.Match) -> tuple[str, int, int]:
-    kind = m.lastgroup if m.lastgroup != "value" else "assigned"
-    return ("assigned", *m.span("value")) if m["value"] is not None else (kind, *m.span(kind))
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the candidates of a whole text, in order; a stretch counts once, for the first kind that finds it."""
+    low, patterns = text.lower(), []
+    if any(x in low for x in ASSIGNED_STEMS):
+        patterns.append(("assigned", ASSIGNED))
+    if any(x in text for x in PREFIXED_STEMS):
+        patterns.append(("prefixed", PREFIXED))
+    if "-----BEGIN" in text:
+        patterns.append(("header", HEADER))
+    if max(map(len, text.split()), default=0) >= 24:
+        patterns.append(("bare", BARE))
+    found: list[tuple[str, int, int]] = []
+    for kind, pattern in patterns:
+        taken = sorted((a, e) for _, a, e in found)
+        for m in pattern.finditer(text):
+            a, e = m.span("value")
+            near = bisect_left(taken, (e, 0)) - 1
+            if (near >= 0 and taken[near][1] > a) or (kind == "bare" and not any(c.isdigit() for c in text[a:e])):
+                continue
+            found.append((kind, a, e))
+    return sorted(found, key=lambda x: x[1:])
 
 
 def features(before: str, value: str, after: str) -> list[float]:
@@ -161,8 +181,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows, inputs = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for m in CANDIDATE.finditer(t or ""):
-                    kind, a, e = kind_of(m)
+                for kind, a, e in candidates(t or ""):
                     rows.append((d, a, e, kind, t[a:e]))
                     inputs.append(features(t[max(0, a - CONTEXT) : a], t[a:e], t[e : e + CONTEXT]))
             if rows:

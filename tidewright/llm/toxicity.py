@@ -78,11 +78,9 @@ def train(texts: list[str], labels: list[int], features: int = 5000, rounds: int
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicModel()
-    bags = [[{f for w in set(WORD.findall(s)) for f in word_features(w)} for s in SENTENCE.findall(t.lower())] for t in texts]
-    bags = [[s for s in b if s] for b in bags]
     counts = (Counter(), Counter())
-    for b, t in zip(bags, labels):
-        counts[t].update(set().union(*b))
+    for text, t in zip(texts, labels):
+        counts[t].update({f for w in set(WORD.findall(text.lower())) for f in word_features(w)})
     n1, n0 = y.sum(), len(y) - y.sum()
 
     def gain(f: str) -> float:
@@ -99,14 +97,20 @@ def train(texts: list[str], labels: list[int], features: int = 5000, rounds: int
     if not names:
         return ToxicModel()
     at = {f: k for k, f in enumerate(names)}
+    of: dict[str, list[int]] = {}
     doc, sent, feat, empty = [], [], [], np.zeros(len(y))
-    for d, b in enumerate(bags):
-        for s in b:
-            if hit := [at[f] for f in s if f in at]:
+    for d, text in enumerate(texts):
+        for s in SENTENCE.findall(text.lower()):
+            words, hit = set(WORD.findall(s)), set()
+            for w in words:
+                if w not in of:
+                    of[w] = [at[f] for f in word_features(w) if f in at]
+                hit.update(of[w])
+            if hit:
                 sent += [len(doc)] * len(hit)
                 feat += hit
                 doc.append(d)
-            else:
+            elif words:
                 empty[d] += 1
     doc, sent, feat = np.array(doc), np.array(sent), np.array(feat)
     theta = np.concatenate((np.zeros(len(names)), [-5.0]))
@@ -137,7 +141,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 2500, negatives: int = 5000) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 2000, negatives: int = 4000) -> ToxicModel:
     rows = training_rows(labels).withColumn("tie", F.xxhash64("doc_id"))
     picked = rows.where("toxic > 0").orderBy("tie", "doc_id").limit(positives).unionByName(rows.where("toxic = 0").orderBy("tie", "doc_id").limit(negatives))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").where("text is not null")
