@@ -1,18 +1,34 @@
 """Token ids of whole texts by the tokenizers library, with a word cache.
 
-The vocabulary in use drops white space and never lets a token cross it, so the ids of a text are the ids of its pieces
-between spaces, tabs and line ends, one after another. Only pieces not seen lately go to the library; the others come from a cache
-of two generations with a fixed number of entries. tests/llm/test_tokens.py holds this against encoding whole texts.
+A vocabulary whose file normalises with NFC, white space to blanks and lower case, and splits at everything but letters, single digits and runs of other
+signs, never lets a token cross white space: the ids of a text are the ids of its pieces between spaces, tabs and line ends, one after
+another. Only pieces not seen lately go to the library; the others come from a cache of two generations with a fixed number of entries. A piece of
+letters below U+0100, but for signs at its end, is lower-cased here and goes to a copy of the tokenizer without the steps that leave such
+a piece as it is. Files with other steps get whole texts. tests/llm/test_tokens.py holds all this against encoding whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 
 import numpy as np
 
 CACHE_WORDS = 300_000
 END_ID = 1
+END_SIGNS = '.,;:!?%*#$&)"'
+# The steps, as the vocabulary file states them, for which the above holds.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -25,32 +41,64 @@ def default_tokenizer() -> str:
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        self.separable = all(steps.get(k) == v for k, v in STEPS.items())
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([END_ID], self.kind).tobytes()
+        self.end = self._pack([END_ID])
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _run(self, model, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            out.update(zip(part, [self._pack(e.ids) for e in model.encode_batch_fast(part, add_special_tokens=False)]))
+        return out
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not in the young generation."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {"": b""}
-        new, missing = {}, []
+        new, plain, other, split = {}, [], [], []
         for w in dict.fromkeys(words):
             if (b := self.old.get(w)) is not None:
                 new[w] = b
+                continue
+            core = w.rstrip(END_SIGNS)
+            if core.isalpha() and max(core) < "\u0100":
+                low = core.lower()
+                split.append((w, low, w[len(core) :]))
+            else:
+                other.append(w)
+        young, old = self.young, self.old
+        for part in {x for s in split for x in s[1:]}:
+            b = young.get(part)
+            if b is None:
+                b = old.get(part)
+            if b is None:
+                plain.append(part)
             else:
-                missing.append(w)
-        for k in range(0, len(missing), 2000):
-            part = missing[k : k + 2000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                new[w] = np.array(e.ids, self.kind).tobytes()
-        self.young.update((w, b) for w, b in new.items() if len(w) < 64)
+                new[part] = b
+        new.update(self._run(self.bare, plain))
+        new.update((w, new[low] + new[tail]) for w, low, tail in split)
+        new.update(self._run(self.model, other))
+        young.update((w, b) for w, b in new.items() if len(w) < 64)
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids and the end id, packed little-endian in self.kind; a null text is empty."""
+        if not self.separable:
+            return [self._pack(self.model.encode(t or "", add_special_tokens=False).ids) + self.end for t in texts]
         out: list[bytes] = []
         group: list[list[str]] = []
         size = 0
@@ -65,7 +113,7 @@ class Encoder:
 
     def _encode(self, group: list[list[str]]) -> list[bytes]:
         get = self.young.get
-        found = [[get(w) for w in words] for words in group]
+        found = [list(map(get, words)) for words in group]
         lost = [w for words, ids in zip(group, found) if None in ids for w, b in zip(words, ids) if b is None]
         if lost:
             new = self._learn(lost)
