@@ -110,9 +110,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
                 ids = enc.encode(b.column(1).to_pylist())
                 keys = []
                 for x in ids:
-                    h = (np.unique(np.frombuffer(x, enc.kind)).astype(np.uint64) + np.uint64(1)) * mix
-                    low = np.sort((h >> np.uint64(40)).astype(np.int64))[:2].tolist()
-                    keys.append((low[0] << 24) | low[-1])
+                    h = (((np.frombuffer(x, enc.kind).astype(np.uint64) + np.uint64(1)) * mix) >> np.uint64(40)).astype(np.int64)
+                    low = int(h.min())
+                    above = h[h > low]
+                    keys.append((low << 24) | (int(above.min()) if len(above) else low))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "lexical", "ids"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 END_ID = 1
 END_SIGNS = '.,;:!?%*#$&)"'
 # The steps, as the vocabulary file states them, for which the above holds.
