@@ -25,6 +25,7 @@ from .common import materialise
 from .selection import kth_largest
 
 BUCKETS = 1 << 15
+FILTER_WORDS = 1 << 18
 WORD = re.compile(r"\w+|[^\w\s]+")
 _words: dict[str, int] = {}
 
@@ -51,26 +52,37 @@ def log_ratio(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.
     """Smoothed log(target / raw) of each bucket. docs: (doc_id, text); target: distinct ids. The result has `buckets` numbers whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, buckets), np.int64)
+        sums = np.zeros(buckets, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
-                part = whole.slice(k, 500)
-                for good in (False, True):
-                    texts = part.filter(part.column(1)).column(0) if good else part.column(0)
-                    if len(texts):
-                        sums[int(good)] += np.bincount(np.concatenate([ngram_buckets(t, buckets) for t in texts.to_pylist()]), minlength=buckets)
+                texts = whole.slice(k, 500).column(0).to_pylist()
+                sums += np.bincount(np.concatenate([ngram_buckets(t, buckets) for t in texts]), minlength=buckets)
         if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(sums[0]), pa.array(sums[1])], ["b", "raw", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(sums)], ["b", "n"])
+
+    def counted(texts: DataFrame) -> dict[int, int]:
+        rows = texts.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
+        return {r.b: r.n for r in rows}
 
-    marked = docs.join(target.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    rows = marked.mapInArrow(count, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.ones(buckets), np.ones(buckets)
-    for r in rows:
-        raw[r.b] += r.raw
-        good[r.b] += r.good
+    for sums, texts in ((raw, docs), (good, chosen(docs, target))):
+        for b, n in counted(texts).items():
+            sums[b] += n
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
+def chosen(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """The documents whose id is in target. All others but a few go before the shuffle, by FILTER_WORDS * 64 bits of id hashes: at most
+    FILTER_WORDS rows are sent to the tasks, however many ids there are. The join on the id that follows is exact."""
+    hashed = F.xxhash64("doc_id")
+    word, bit = F.pmod(hashed, F.lit(FILTER_WORDS).cast("long")), F.shiftright(hashed, 58).bitwiseAND(F.lit(63).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    words = target.select(word.alias("__word"), one.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    marked = docs.select("doc_id", "text", word.alias("__w"), one.alias("__b"))
+    likely = marked.join(F.broadcast(words), (F.col("__w") == F.col("__word")) & (F.col("__b").bitwiseAND(F.col("__bits")) != 0), "left_semi")
+    return likely.select("doc_id", "text").hint("merge").join(target, "doc_id", "left_semi")
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float | None = None, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, selected) of every row; exactly round(keep * rows) rows are selected."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
