@@ -72,6 +72,32 @@ CATALOGUE: dict[str, tuple[str, str | None]] = {
     "update_join": ("UPDATE n SET n_name = r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_regionkey = 2; SELECT * FROM nation", "SELECT n_nationkey, coalesce(r.r_name, n_name) AS n_name, n_regionkey FROM nation LEFT JOIN region r ON n_regionkey = r_regionkey AND r_regionkey = 2"),
     "delete_where": ("DELETE FROM nation WHERE n_regionkey = 1; SELECT * FROM nation", "SELECT * FROM nation WHERE n_regionkey <> 1"),
     "delete_join": ("DELETE n FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_regionkey > 2; SELECT * FROM nation", "SELECT * FROM nation WHERE n_regionkey <= 2"),
+    "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey", None),
+    "join_self": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
+    "join_range": ("SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_nationkey BETWEEN r.r_regionkey * 5 AND r.r_regionkey * 5 + 4", None),
+    "where_not": ("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 1000)", None),
+    "agg_global": ("SELECT COUNT(*) AS n, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi FROM orders", None),
+    "win_rank": ("SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS r, DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS d FROM orders", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INTEGER) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INTEGER) AS d FROM orders"),
+    "win_sum_part": ("SELECT n_nationkey, SUM(n_nationkey) OVER (PARTITION BY n_regionkey) AS s FROM nation", "SELECT n_nationkey, CAST(sum(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS s FROM nation"),
+    "win_sum_running": ("SELECT n_nationkey, SUM(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation", "SELECT n_nationkey, CAST(sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS s FROM nation"),
+    "order_multi": ("SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name", None),
+    "top_n": ("SELECT TOP (7) o_orderkey FROM orders ORDER BY o_orderkey DESC", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7"),
+    "union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
+    "union_all": ("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", None),
+    "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 9", None),
+    "setop_order_by": ("SELECT n_regionkey AS k FROM nation UNION ALL SELECT 9 ORDER BY k", None),
+    "cte_columns": ("WITH a(k, n) AS (SELECT n_regionkey, COUNT(*) FROM nation GROUP BY n_regionkey) SELECT k, n FROM a WHERE n > 1", None),
+    "cte_setop": ("WITH a AS (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) SELECT k, COUNT(*) AS n FROM a GROUP BY k", None),
+    "fn_math": ("SELECT n_nationkey, ABS(n_nationkey - 10) AS a, SIGN(n_nationkey - 10) * 1 AS s FROM nation WHERE FLOOR(n_nationkey) > 2", "SELECT n_nationkey, abs(n_nationkey - 10) AS a, sign(n_nationkey - 10) AS s FROM nation WHERE n_nationkey > 2"),
+    "fn_null": ("SELECT n_nationkey, ISNULL(NULLIF(n_regionkey, 1), -1) AS a, COALESCE(NULL, n_name) AS b FROM nation", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1), -1) AS a, n_name AS b FROM nation"),
+    "fn_cast": ("SELECT CAST(n_nationkey AS VARCHAR(10)) AS a, CONVERT(INT, '12') AS b FROM nation", "SELECT CAST(n_nationkey AS VARCHAR) AS a, 12 AS b FROM nation"),
+    "fn_date": ("SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders"),
+    "temp_table_pipeline": ("SELECT n_nationkey AS k, n_name INTO #t FROM nation WHERE n_regionkey = 2; SELECT COUNT(*) AS n, MIN(k) AS lo FROM #t", "SELECT count(*) AS n, min(n_nationkey) AS lo FROM nation WHERE n_regionkey = 2"),
+    "view_query": ("CREATE VIEW v AS SELECT n_regionkey AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey; SELECT r.r_name, v.n FROM v JOIN region r ON r.r_regionkey = v.k", "SELECT r_name, n FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) JOIN region ON r_regionkey = k"),
+    "scalar_udf": ("CREATE FUNCTION dbo.twice (@n INT) RETURNS INT AS BEGIN RETURN @n * 2 END; SELECT dbo.twice(n_nationkey) AS d FROM nation", "SELECT n_nationkey * 2 AS d FROM nation"),
+    "tvf_apply": ("CREATE FUNCTION dbo.nations_of (@r INT) RETURNS TABLE AS RETURN (SELECT n_name FROM nation WHERE n_regionkey = @r); SELECT r.r_name, f.n_name FROM region r CROSS APPLY dbo.nations_of(r.r_regionkey) f", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey"),
+    "insert_values": ("INSERT INTO region (r_regionkey, r_name) VALUES (50, 'NEW'), (51, 'NEWER'); SELECT r_regionkey, r_name FROM region", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 50, 'NEW' UNION ALL SELECT 51, 'NEWER'"),
+    "insert_select": ("INSERT INTO region (r_regionkey, r_name) SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 0; SELECT r_regionkey, r_name FROM region", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 0"),
 }
 
 
@@ -79,9 +105,15 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Session(spark, parquet_tables(spark, sf_dir, TABLES)).query(text)
 
 
+def _proc_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = Session(spark, parquet_tables(spark, sf_dir, TABLES))
+    session.sql("CREATE PROCEDURE nations_of @r INT, @least INT = 3 AS BEGIN SELECT n_name FROM nation WHERE n_regionkey = @r AND n_nationkey >= @least END")
+    return session.call("nations_of", r=1)[-1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(text) for name, (text, _) in CATALOGUE.items()}
+    return {name: _query(text) for name, (text, _) in CATALOGUE.items()} | {"proc_call": _proc_call}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: other or text for name, (text, other) in CATALOGUE.items()}
+    return {name: other or text for name, (text, other) in CATALOGUE.items()} | {"proc_call": "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey >= 3"}
