@@ -185,6 +185,16 @@ def test_importance_resampling(spark, docs):
     assert {r.doc_id for r in rows if r.selected} == {r.doc_id for r in sorted(rows, key=lambda r: -r.gumbel_key)[:k]}
 
 
+def test_importance_resampling_splits_equal_keys(spark):
+    docs = spark.range(3000).selectExpr("if(id < 2000, null, id % 500) as doc_id", "if(id < 2000, '', concat('word', id % 500)) as text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for keep in (0.0, 0.01, 0.3, 0.5, 0.77, 1.0):
+        rows = quality.resample(docs, labels, keep=keep).collect()
+        assert len(rows) == 3000 and sum(r.selected for r in rows) == round(keep * 3000)
+        cut = min((r.gumbel_key for r in rows if r.selected), default=None)
+        assert cut is None or all(r.selected for r in rows if r.gumbel_key > cut)
+
+
 def signatures(text):
     words = regex.split(r"[^\p{L}\p{N}]+", text.lower())
     common = {"", *spotsigs.COMMON}

@@ -5,8 +5,9 @@ log importance weight is the sum of the log ratios of its n-grams. Gumbel noise,
 largest are taken, which samples without replacement in proportion to the weights. k is a share of the rows, by default the share
 of good ones among labelled rows. Both models count over all documents.
 
-Null and empty texts weigh 0 (log). Null labels and ids count as not labelled; repeated rows are weighed alike and, with equal keys at
-the cut, all or none up to k are taken by the smallest id; an empty table gives no rows. Other columns are ignored.
+Null and empty texts weigh 0 (log). Null labels and ids count as not labelled; repeated rows are weighed alike. Equal keys come from rows that
+share an id and a text: where they straddle the cut, as many of them as are missing to k are taken, by row number, which is found like the
+cut itself without gathering them. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,23 +101,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 noise.append(weights[-1] - math.log(-math.log(min(max(u, 1e-18), 1 - 1e-16))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights, pa.float64()), pa.array(noise, pa.float64())], ["doc_id", "log_weight", "gumbel_key"])
 
-    scored = materialise(rows.mapInArrow(weigh, "doc_id long, log_weight double, gumbel_key double"), "weights")
+    drawn = rows.mapInArrow(weigh, "doc_id long, log_weight double, gumbel_key double")
+    scored = materialise(drawn.withColumn("__tie", F.monotonically_increasing_id()), "weights")
     n = scored.count()
     k = round(share * n)
     cut = kth_largest(scored, "gumbel_key", k)
-    over = scored.where(F.col("gumbel_key") > cut).count() if n else 0
-    tied = scored.where(F.col("gumbel_key") == cut)
-    at_cut = tied.count() if n and k else 0
     taken = F.col("gumbel_key") >= cut
-    if at_cut > k - over:  # equal keys come from repeated ids: the smallest ids of them are taken
-        ids = [r.doc_id for r in tied.orderBy(F.col("doc_id").asc_nulls_last()).limit(k - over).select("doc_id").collect()]
-        order = F.row_number().over(_by_id())
-        rest = tied.withColumn("place", order).withColumn("selected", F.col("place") <= len(ids)).drop("place")
-        return scored.where(F.col("gumbel_key") != cut).withColumn("selected", F.col("gumbel_key") > cut).unionByName(rest)
-    return scored.withColumn("selected", taken)
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("gumbel_key").orderBy(F.col("doc_id").asc_nulls_last())
+    tied = scored.where(F.col("gumbel_key") == cut).select((-F.col("__tie")).cast("double").alias("place"))
+    above, at_cut = (scored.where(F.col("gumbel_key") > cut).count(), tied.count()) if 0 < k < n else (0, 0)
+    if at_cut > k - above:  # row numbers differ, so their k-th is exact
+        last = kth_largest(tied, "place", k - above)
+        taken = (F.col("gumbel_key") > cut) | (F.col("gumbel_key") == cut) & (-F.col("__tie") >= F.lit(int(last)).cast("long"))
+    return scored.select("doc_id", "log_weight", "gumbel_key", taken.alias("selected"))
