@@ -2,9 +2,10 @@
 
 A vocabulary whose file normalises with NFC, white space to blanks and lower case, and splits at everything but letters, single digits and runs of other
 signs, never lets a token cross white space: the ids of a text are the ids of its pieces between spaces, tabs and line ends, one after
-another. Only pieces not seen lately go to the library; the others come from a cache of two generations with a fixed number of entries. A piece of
-letters below U+0100, but for signs at its end, is lower-cased here and goes to a copy of the tokenizer without the steps that leave such
-a piece as it is. Files with other steps get whole texts. tests/llm/test_tokens.py holds all this against encoding whole texts.
+another. Only pieces not seen lately go to the library; the others come from a cache of two generations with a fixed number of entries. A text of
+characters below U+0100, which NFC leaves alone, is lower-cased here first, unless that makes one of the vocabulary's added tokens. A piece of
+letters below U+0100, but for signs at its end, goes straight to the library's model, its letters written as the byte level writes them.
+Files with other steps get whole texts. tests/llm/test_tokens.py holds all this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from array import array
 import numpy as np
 
 CACHE_WORDS = 600_000
+LONG = 64
 END_ID = 1
 END_SIGNS = '.,;:!?%*#$&)"'
 # The steps, as the vocabulary file states them, for which the above holds.
@@ -47,9 +49,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
         self.separable = all(steps.get(k) == v for k, v in STEPS.items())
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merge = Tokenizer.from_file(path).model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.added = [a["content"].lower() for a in steps.get("added_tokens", [])]
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = self._pack([END_ID])
         self.young: dict[str, bytes] = {"": b""}
@@ -58,42 +61,47 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
-    def _run(self, model, words: list[str]) -> dict[str, bytes]:
+    def _run(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of any pieces, by the whole tokenizer."""
         out = {}
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            out.update(zip(part, [self._pack(e.ids) for e in model.encode_batch_fast(part, add_special_tokens=False)]))
+            out.update(zip(part, [self._pack(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False)]))
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not in the young generation."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {"": b""}
+    def _run_plain(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of pieces below U+0100 without white space, each of which is one word to the tokenizer."""
+        merge, letters, pack = self.merge, self.letters, self._pack
+        return {w: pack([x.id for x in merge(w if w.isascii() else w.translate(letters))]) for w in words}
+
+    def _learn(self, words: set[str]) -> set[str]:
+        """Brings words into the young generation; returns the parts of words that came along."""
         new, plain, other, split = {}, [], [], []
-        for w in dict.fromkeys(words):
-            if (b := self.old.get(w)) is not None:
+        young, old = self.young, self.old
+        for w in words:
+            if (b := old.get(w)) is not None:
                 new[w] = b
                 continue
             core = w.rstrip(END_SIGNS)
-            if core.isalpha() and max(core) < "\u0100":
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
                 low = core.lower()
-                split.append((w, low, w[len(core) :]))
+                if low == w:
+                    plain.append(w)
+                else:
+                    split.append((w, low, w[len(core) :]))
             else:
                 other.append(w)
-        young, old = self.young, self.old
-        for part in {x for s in split for x in s[1:]}:
-            b = young.get(part)
-            if b is None:
-                b = old.get(part)
-            if b is None:
+        parts = {x for s in split for x in s[1:]}.difference(plain, young, new)
+        for part in parts:
+            if (b := old.get(part)) is None:
                 plain.append(part)
             else:
                 new[part] = b
-        new.update(self._run(self.bare, plain))
-        new.update((w, new[low] + new[tail]) for w, low, tail in split)
-        new.update(self._run(self.model, other))
-        young.update((w, b) for w, b in new.items() if len(w) < 64)
-        return new
+        new.update(self._run_plain(plain))
+        young.update(new)
+        young.update([(w, young[low] + young[tail]) for w, low, tail in split])
+        young.update(self._run(other))
+        return parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids and the end id, packed little-endian in self.kind; a null text is empty."""
@@ -103,7 +111,7 @@ class Encoder:
         group: list[list[str]] = []
         size = 0
         for t in texts:
-            words = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words = self._lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             group.append(words)
             size += len(words)
             if size > 100_000:
@@ -111,14 +119,25 @@ class Encoder:
                 group, size = [], 0
         return out + self._encode(group)
 
+    def _lower(self, text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(a in low for a in self.added) else low
+
     def _encode(self, group: list[list[str]]) -> list[bytes]:
-        get = self.young.get
-        found = [list(map(get, words)) for words in group]
-        lost = [w for words, ids in zip(group, found) if None in ids for w, b in zip(words, ids) if b is None]
-        if lost:
-            new = self._learn(lost)
-            found = [[new[w] if b is None else b for w, b in zip(words, ids)] if None in ids else ids for words, ids in zip(group, found)]
-        return [b"".join(ids) + self.end for ids in found]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {"": b""}
+        if lost := set().union(*group).difference(self.young):
+            lost |= self._learn(lost)
+        get = self.young.__getitem__
+        out = [b"".join(map(get, words)) + self.end for words in group]
+        for w in lost:
+            if len(w) >= LONG:  # not worth a place in the cache
+                del self.young[w]
+        return out
 
 
 def encoder(path: str) -> Encoder:
