@@ -40,6 +40,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words(dict):
+    """Packed ids by piece; a piece that is not there is brought in by the encoder, from its former generation if it is in that."""
+
+    def __init__(self, learn, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.learn, self.old = learn, old
+
+    def __missing__(self, word: str) -> bytes:
+        b = self.old.get(word)
+        if b is None:
+            b = self.learn(word)
+        if len(word) < LONG:  # longer ones are not worth a place
+            self[word] = b
+        return b
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,70 +70,35 @@ class Encoder:
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
         self.added = [a["content"].lower() for a in steps.get("added_tokens", [])]
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = self._pack([END_ID])
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.words = Words(self._learn, {})
 
     def _pack(self, ids: list[int]) -> bytes:
-        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
-
-    def _run(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of any pieces, by the whole tokenizer."""
-        out = {}
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            out.update(zip(part, [self._pack(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False)]))
-        return out
-
-    def _run_plain(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of pieces below U+0100 without white space, each of which is one word to the tokenizer."""
-        merge, letters, pack = self.merge, self.letters, self._pack
-        return {w: pack([x.id for x in merge(w if w.isascii() else w.translate(letters))]) for w in words}
-
-    def _learn(self, words: set[str]) -> set[str]:
-        """Brings words into the young generation; returns the parts of words that came along."""
-        new, plain, other, split = {}, [], [], []
-        young, old = self.young, self.old
-        for w in words:
-            if (b := old.get(w)) is not None:
-                new[w] = b
-                continue
-            core = w.rstrip(END_SIGNS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                low = core.lower()
-                if low == w:
-                    plain.append(w)
-                else:
-                    split.append((w, low, w[len(core) :]))
-            else:
-                other.append(w)
-        parts = {x for s in split for x in s[1:]}.difference(plain, young, new)
-        for part in parts:
-            if (b := old.get(part)) is None:
-                plain.append(part)
-            else:
-                new[part] = b
-        new.update(self._run_plain(plain))
-        young.update(new)
-        young.update([(w, young[low] + young[tail]) for w, low, tail in split])
-        young.update(self._run(other))
-        return parts
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a piece without blanks."""
+        core = word.rstrip(END_SIGNS)
+        if not core.isalpha() or not core.isascii() and max(core) >= "\u0100":
+            return self._pack(self.model.encode_batch_fast([word], add_special_tokens=False)[0].ids)
+        low = core.lower()
+        if low != word:
+            return self.words[low] + self.words[word[len(core) :]]
+        return self._pack([x.id for x in self.merge(word if word.isascii() else word.translate(self.letters))])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids and the end id, packed little-endian in self.kind; a null text is empty."""
         if not self.separable:
             return [self._pack(self.model.encode(t or "", add_special_tokens=False).ids) + self.end for t in texts]
         out: list[bytes] = []
-        group: list[list[str]] = []
-        size = 0
         for t in texts:
-            words = self._lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            group.append(words)
-            size += len(words)
-            if size > 100_000:
-                out += self._encode(group)
-                group, size = [], 0
-        return out + self._encode(group)
+            if len(self.words) > CACHE_WORDS:
+                self.words.old = {}
+                self.words = Words(self._learn, self.words)
+            pieces = self._lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out.append(b"".join(map(self.words.__getitem__, pieces)) + self.end)
+        return out
 
     def _lower(self, text: str) -> str:
         try:
@@ -127,18 +108,6 @@ class Encoder:
         low = text.lower()
         return text if any(a in low for a in self.added) else low
 
-    def _encode(self, group: list[list[str]]) -> list[bytes]:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        if lost := set().union(*group).difference(self.young):
-            lost |= self._learn(lost)
-        get = self.young.__getitem__
-        out = [b"".join(map(get, words)) + self.end for words in group]
-        for w in lost:
-            if len(w) >= LONG:  # not worth a place in the cache
-                del self.young[w]
-        return out
-
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
