@@ -34,6 +34,17 @@ def test_empty_null_and_broken_scripts(spark):
     assert [f(empty).count() for f in (A.scopes, A.symbols, A.refs, A.duplicates, A.diagnostics)] == [0] * 5
 
 
+def test_derived_tables_have_a_scope_between_their_parentheses(spark):
+    sql = "SELECT d.k FROM (SELECT 1 AS k) AS d JOIN (SELECT 2 AS k) e ON d.k = e.k"
+    n = corpus(spark, sql)
+    spans = sorted((r.name, sql[r.start : r.end]) for r in A.scopes(n).where("name <> 'root'").collect())
+    assert spans == sorted([("select", sql), ("select", "SELECT 1 AS k"), ("select", "SELECT 2 AS k"), ("subquery", "(SELECT 1 AS k)"), ("subquery", "(SELECT 2 AS k)")])
+    depth = {(r.name, r.start): r.depth for r in A.scopes(n).collect()}
+    assert [d for (name, _), d in sorted(depth.items()) if name == "subquery"] == [2, 2]
+    outer = A.symbols(n).where("kind = 'Alias' and name in ('d', 'e')").join(A.scopes(n).where("name = 'select' and start = 0"), ["script_id", "scope_id"], "left_semi")
+    assert outer.count() == 2 and A.diagnostics(n).count() == 0
+
+
 def test_any_words_in_any_order_give_nodes():
     words = "SELECT FROM WHERE ( ) , ; . @a #t [x] 'y' 1 = + CASE WHEN END IF ELSE BEGIN CREATE VIEW AS WITH JOIN ON UPDATE SET DELETE INSERT INTO VALUES DECLARE INT NOT IN OVER TOP".split()
     rng = random.Random(5)

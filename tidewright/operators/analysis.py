@@ -92,6 +92,12 @@ def _opens(node: Node, role: str) -> str | None:
     return {"SelectStatement": "select", "SubqueryExpression": "subquery"}.get(node.kind)
 
 
+def _derived(table: Node, query: Node) -> Node:
+    """A derived table's query as an expression of its own, with the parentheses around it, so that it opens a scope."""
+    start, end = table.get("inner") or (table.start, query.end)
+    return Node("SubqueryExpression", start, end, query=query)
+
+
 def script_nodes(sql: str) -> Iterator[dict]:
     """The nodes of a script, parents first; sources come before the other clauses, so that ids are in the order in which names are declared.
     path: the node ids of the scopes around the node; the last is the node itself if it opens one, as scope_name tells."""
@@ -110,7 +116,8 @@ def script_nodes(sql: str) -> Iterator[dict]:
             "start": node.start, "end": node.end, "incomplete": node.incomplete, "errors": node.errors, "path": path, "scope_name": opened, "in_view": in_view,
         }
         inside = in_view or (node.kind == "CreateStatement" and fields.get("objectType") == "VIEW")
-        children = sorted(node.children(), key=lambda c: c[0] != "from")
+        children = [(r, k, _derived(node, child) if node.kind == "TableReference" and r == "query" else child) for r, k, child in node.children()]
+        children.sort(key=lambda c: c[0] != "from")
         todo.extend((child, node_id, r, k, path, inside) for r, k, child in reversed(children))
         node_id += 1
 
