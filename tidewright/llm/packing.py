@@ -1,7 +1,8 @@
 """Operator 3: lexical retrieval packing.
 
 Documents are dealt to shards by a lexical key, so that texts with the same rare-ish ids meet, and an id breaks ties, so a hot key is
-spread like any other. Each shard of about SHARD_TOKENS ids gets its own BM25 inverted index over the ids of its documents.
+spread like any other. Each shard of about SHARD_TOKENS ids gets its own inverted index over the ids of its documents; the weights of BM25 come from all documents:
+document frequencies, number and mean length are counted once, in an array over the vocabulary. A seed is still answered by its own shard only.
 A seed document opens a window of `window` ids; its index returns the unused documents most like it, which fill the window
 greedily; the document that reaches the window's end is cut there and its rest becomes the next seed. Only the last window of a shard
 is not full, so padding is under `window` ids a shard.
@@ -30,18 +31,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class ShardIndex:
-    """BM25 over a shard: postings by term, each with its document and weight; terms in half of the documents or more weigh nothing."""
+    """BM25 over a shard: postings by term, each with its document and weight; terms in half of all documents or more weigh nothing.
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    corpus: the number of all documents, their mean length and each id's document frequency; without it those of the shard.
+    """
+
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, corpus: tuple[int, float, np.ndarray] | None = None):
         self.n = len(docs)
         sizes = np.array([len(x) for x in docs])
         doc = np.repeat(np.arange(self.n, dtype=np.int64), sizes)
         key, tf = np.unique((np.concatenate(docs).astype(np.int64) << 32) | doc, return_counts=True)
         term, self.doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log((self.n - df + 0.5) / (df + 0.5))
+        total, mean, everywhere = corpus or (self.n, sizes.mean(), None)
+        among = df if everywhere is None else everywhere[self.terms]
+        idf = np.log((total - among + 0.5) / (among + 0.5))
         of = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[of] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / max(1.0, sizes.mean())))
+        self.weight = idf[of] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / max(1.0, mean)))
         self.first, self.df, useful = first, df, idf > 0
         order = np.argsort(self.doc, kind="stable")
         order = order[useful[of[order]]]
@@ -58,9 +64,9 @@ class ShardIndex:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: tuple[int, float, np.ndarray] | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece."""
-    index, unused, pieces = ShardIndex(docs), np.ones(len(docs), bool), []
+    index, unused, pieces = ShardIndex(docs, corpus=corpus), np.ones(len(docs), bool), []
     sequence, used, order = 0, 0, 0
     seed = next_doc = -1
     ranked: list[int] = []
@@ -94,6 +100,31 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
+def corpus_statistics(ids: DataFrame, vocabulary: str) -> tuple[int, float, np.ndarray]:
+    """(number, mean length, document frequency of each id) of all documents; arrays of a task and of the driver have the vocabulary's size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(vocabulary).kind
+        df, n, held = np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                terms = np.unique(np.frombuffer(x, kind))
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.concatenate((df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)))
+                df[terms] += 1
+                n, held = n + 1, held + len(x) // np.dtype(kind).itemsize
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((terms, [-1, -2]))), pa.array(np.concatenate((df[terms], [n, held])))], ["id", "df"])
+
+    found = dict(ids.select("ids").mapInArrow(count, "id long, df long").groupBy("id").agg(F.sum("df")).collect())
+    everywhere = np.zeros(max(found, default=-1) + 1, np.int64)
+    for k, n in found.items():
+        if k >= 0:
+            everywhere[k] = n
+    total = found.get(-1, 0)
+    return total, found.get(-2, 0) / max(1, total), everywhere
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece of each document: where it lies in the document and in which sequence.
 
@@ -124,7 +155,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
         def shard() -> pa.RecordBatch:
             nonlocal base, held
-            pieces = pack_shard(docs, window)
+            pieces = pack_shard(docs, window, corpus.value)
             last = pieces[-1][3]
             fill = np.bincount([p[3] for p in pieces], [p[2] for p in pieces]).astype(int)
             padded = [int(n) if n & (n - 1) == 0 else window for n in fill.tolist()]
@@ -146,6 +177,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = materialise(rows.mapInArrow(encode, "doc_id long, lexical long, ids binary"), "pack-ids")
+    corpus = df.sparkSession.sparkContext.broadcast(corpus_statistics(ids, vocabulary))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ids.repartitionByRange(n, "lexical", F.col("doc_id").asc_nulls_first()).sortWithinPartitions("lexical", F.col("doc_id").asc_nulls_first())
     return materialise(dealt.select("doc_id", "ids").mapInArrow(windows, PIECES), "pieces")
