@@ -1,7 +1,7 @@
 """Operator 1: secret scans with a random forest that removes false positives.
 
-Patterns find candidates in whole texts: values of assignments to names such as token or password, keys with a known prefix, private key
-headers, and long unbroken strings. A random forest then decides from the candidate's length, its character transitions, how much of it a
+Patterns find candidates in whole texts: values of assignments to names such as token or password, keys with a known prefix, private keys
+from header to END line (the header alone where none follows), and long unbroken strings. A random forest then decides from the candidate's length, its character transitions, how much of it a
 dictionary covers, whether it is part of a path or address, and the words beside it. The forest is trained from labelled findings: a DataFrame
 (before, value, after, label) that the caller may give; by default findings_for_training() makes `findings` of them by rule from a fixed seed.
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 CONTEXT = 48
 NAME = r"(?:token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|bearer)"
-ASSIGNED = re.compile(rf"(?i:{NAME})[\w.-]{{0,20}}\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<value>[^\s\"'`<>;,)&#]{{8,512}})")
-PREFIXED = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[A-Za-z0-9]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
-HEADER = re.compile(r"(?P<value>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)")
-BARE = re.compile(r"(?<![\w+/=.-])(?P<value>[A-Za-z0-9+/=_-]{24,512})(?![\w+/=-])")
+ASSIGNED = re.compile(rf"(?i:{NAME})[\w.-]{{0,20}}[\"'`]?\]?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"'`]?(?P<value>[^\s\"'`<>;,)&#]{{8,}})")
+PREFIXED = re.compile(r"\b(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
+HEADER = re.compile(r"(?P<value>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?)")
+BARE = re.compile(r"(?<![\w+/=.-])(?P<value>[A-Za-z0-9+/=_-]{24,})(?![\w+/=-])")
 # A text without any of a kind's stems, in lower case for the first, has no candidate of that kind.
 ASSIGNED_STEMS = ("token", "secret", "pass", "pwd", "key", "credential", "bearer")
 PREFIXED_STEMS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ")
@@ -43,12 +43,12 @@ FEATURES = ("length", "entropy", "changes", "digits", "upper", "lower", "symbols
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the candidates of a whole text, in order; a stretch counts once, for the first kind that finds it."""
     low, patterns = text.lower(), []
+    if "-----BEGIN" in text:
+        patterns.append(("header", HEADER))
     if any(x in low for x in ASSIGNED_STEMS):
         patterns.append(("assigned", ASSIGNED))
     if any(x in text for x in PREFIXED_STEMS):
         patterns.append(("prefixed", PREFIXED))
-    if "-----BEGIN" in text:
-        patterns.append(("header", HEADER))
     if max(map(len, text.split()), default=0) >= 24:
         patterns.append(("bare", BARE))
     found: list[tuple[str, int, int]] = []
@@ -82,7 +82,7 @@ def features(before: str, value: str, after: str) -> list[float]:
             at = low.find(w, at + 1)
     near = re.findall(r"[a-z]+\d*", (before + " " + after).lower())
     path = bool(re.search(r"(?:https?://|/|\\|\.\w{1,4}/)\S*$", before)) or bool(re.match(r"\.\w{1,4}\b", after)) or value.count("/") >= 2
-    named = bool(re.search(NAME + r"[\w.-]{0,20}\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?$", before, re.I))
+    named = bool(re.search(NAME + r"[\w.-]{0,20}[\"'`]?\]?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?$", before, re.I))
     known = bool(re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN", value))
     return [float(x) for x in (min(len(value), 200), entropy, changes, group.count("d") / n, group.count("u") / n, group.count("l") / n, group.count("s") / n, all(c in "0123456789abcdefABCDEF" for c in value), best / n, len(counts) / n, sum(covered) / n, value.count("/") / n, path, named, known, sum(w in FOR_WORDS for w in near), sum(w in AGAINST_WORDS for w in near))]
 
