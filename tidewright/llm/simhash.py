@@ -9,12 +9,12 @@ the input grows and no link is lost. Each table value emits the links of a spann
 Null text and text without words have fingerprint zero, which links like any other. Repeated rows and null ids get a row each; a component in
 which all ids are null has component null. Other columns are ignored; an empty table gives no rows.
 
-drop_near, the stage of the pipeline, goes by likeness instead: near_components links all texts whose sets of shingles have a Jaccard index of 0.8 or more.
+drop_near, the stage of the pipeline, links texts whose sets of five-word shingles have a Jaccard index of 0.8 or more: near_components finds them by the
+same scheme over a fingerprint of 256 bits and then compares the sets.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -32,10 +32,13 @@ RADIUS = 4
 HOT = 8192
 BLOCK = 1 << 15
 WIDE = 4
-WIDE_RADIUS = 80
-STAR = 16
-COUNT_SHIFT = np.uint64(44)
-COUNT_PART = 1 << 14
+SEGMENT = 18
+PER_WORD = 3
+TABLES = WIDE * PER_WORD
+OTHER_RADIUS = 20
+WIDE_RADIUS = 72
+SHORT = 64
+PART_ENTRIES = 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -175,7 +178,7 @@ def members(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text or "", words))
 
 
-def wide_fingerprint(held: np.ndarray) -> bytes:
+def wide_fingerprint(held: np.ndarray) -> np.ndarray:
     """A SimHash of 64 * WIDE bits over a set of shingles."""
     ones = np.zeros(64 * WIDE, np.int64)
     for k in range(0, len(held), BLOCK):
@@ -186,13 +189,7 @@ def wide_fingerprint(held: np.ndarray) -> bytes:
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             bits.append(z ^ (z >> np.uint64(31)))
         ones += np.unpackbits(np.stack(bits, axis=1).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(held)).tobytes()
-
-
-def rarest(held: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The shingles of a set that are indexed: two sets whose Jaccard index is `threshold` or more share one, whatever the counts are."""
-    n = len(held)
-    return held[np.lexsort((held, counts[held >> COUNT_SHIFT]))[: n - math.ceil(threshold * n - 1e-9) + 1]] if n else held
+    return np.packbits(2 * ones > len(held)).view(np.int64)
 
 
 def _pack(text: str | None) -> bytes:
@@ -203,162 +200,212 @@ def _unpack(data: bytes, words: int) -> np.ndarray:
     return members(zlib.decompress(data).decode(), words)
 
 
+_PRINT = [f"w{k}" for k in range(WIDE)]
+_READ = "doc_id long, key long, n long, " + ", ".join(f"{w} long" for w in _PRINT) + ", packed binary"
+
+
 def _read(words: int):
-    """A row (doc_id, key, n, wide, packed) for each text; at a task's end, with n = -1, how many sets hold a shingle of each of 2^20 ranges of hashes."""
+    """A row for each text: the hash of its set of shingles, the set's size and wide fingerprint, and the packed text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(1 << 64 - int(COUNT_SHIFT), np.int64), ["doc_id", "key", "n", "wide", "packed"]
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
                 texts = b.column(1).to_pylist()
                 held = [members(t, words) for t in texts]
-                for x in held:
-                    np.add.at(total, x >> COUNT_SHIFT, 1)
                 keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in held], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([len(x) for x in held], pa.int64()), pa.array([wide_fingerprint(x) for x in held], pa.binary()), pa.array([_pack(t) for t in texts], pa.binary())], names)
-        parts = np.minimum(total, (1 << 31) - 1).astype("<i4").reshape(-1, COUNT_PART)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(np.arange(len(parts))), pa.array([-1] * len(parts), pa.int64()), pa.array([b""] * len(parts), pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+                wide = np.stack([wide_fingerprint(x) for x in held])
+                columns = [b.column(0), pa.array(keys), pa.array([len(x) for x in held], pa.int64()), *(pa.array(wide[:, w]) for w in range(WIDE)), pa.array([_pack(t) for t in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _READ.split(", ")])
 
     return read
 
 
-def _counts(read: DataFrame) -> np.ndarray:
-    """The sum of the tasks' counts: 4 MB, however large the table is."""
+_ENTRY = np.dtype([("slot", "<u4"), ("key", "<i8"), ("other", "<u8")])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, "<i4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes() for x in total.values()], pa.binary())], ["key", "packed"])
 
-    held = {r.key: r.packed for r in read.where("n = -1").select("key", "packed").repartition("key").mapInArrow(add, "key long, packed binary").collect()}
-    return np.concatenate([np.frombuffer(held.get(k, bytes(4 * COUNT_PART)), "<i4") for k in range((1 << 64 - int(COUNT_SHIFT)) // COUNT_PART)])
+def _tables(parts: int):
+    """From classes (key, w0..) the entries of all segment tables, as one block of bytes for each of `parts` ranges of mixed slots."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                key, wide = b.column(0).to_numpy(), np.stack([c.to_numpy() for c in b.columns[1:]]).view(np.uint64)
+                out = []
+                for t in range(TABLES):
+                    word, low = divmod(t, PER_WORD)
+                    at = (wide[word] >> np.uint64(low * SEGMENT) & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)
+                    other = wide[(word + 1) % WIDE]
+                    for mask in [0, *(1 << i for i in range(SEGMENT))]:
+                        held = at & np.uint32(mask) == 0  # the segment itself, and its small ball where a zero bit is set
+                        entry = np.empty(int(held.sum()), _ENTRY)
+                        entry["slot"], entry["key"], entry["other"] = np.uint32(t << SEGMENT | mask) | at[held], key[held], other[held]
+                        out.append(entry)
+                entries = np.concatenate(out)
+                part = (entries["slot"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
+                order = np.argsort(part, kind="stable")
+                entries, part = entries[order], part[order]
+                edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), pa.array([entries[a:e].tobytes() for a, e in zip(edge[:-1], edge[1:])], pa.binary())], ["part", "entries"])
+
+    return deal
+
+
+def _reach(other: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The components of two rows or more among `rows` of a crowded slot, by the distance of their other words; the first row of each leads."""
+    found, whole = [], True
+    while len(rows) > 1:
+        todo, left, got, step = rows[:1], rows[1:], [rows[:1]], max(1, (1 << 22) // len(rows))
+        while len(todo) and len(left):
+            near = np.zeros(len(left), bool)
+            for k in range(0, len(todo), step):
+                near |= (np.bitwise_count(other[todo[k : k + step], None] ^ other[None, left]) <= OTHER_RADIUS).any(axis=0)
+            todo, left = left[near], left[~near]
+            got.append(todo)
+        group = np.concatenate(got)
+        if len(group) > 1:
+            found.append(group)
+        elif whole:  # no large group leads: from here on only rows that have a neighbour at all are worth a search
+            whole, busy = False, np.zeros(len(left), bool)
+            for k in range(0, len(left), step):
+                busy[k : k + step] = (np.bitwise_count(other[left[k : k + step], None] ^ other[None, left]) <= OTHER_RADIUS).sum(axis=1) > 1
+            left = left[busy]
+        rows = left
+    return found
+
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From blocks sorted by part: the pairs (u, v) whose entries meet in a slot and whose other words are near.
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows that are sorted by their first column, in tables that never part a run of equal values."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    Runs of at most SHORT entries give all such pairs, with slot -1. Longer ones give, under their slot, the links of each one's star: v is reached from u.
+    """
+
+    def meet(blocks: list[bytes]) -> pa.RecordBatch:
+        e = np.frombuffer(b"".join(blocks), _ENTRY)
+        e = e[np.argsort(e["slot"], kind="stable")]
+        slot, key, other = (np.ascontiguousarray(e[x]) for x in ("slot", "key", "other"))
+        edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
+        size = np.diff(edge)
+        pairs, stars = [np.empty((2, 0), np.int64)], [np.empty((3, 0), np.int64)]
+        few = np.repeat((size > 1) & (size <= SHORT), size)
+        run, f, name = np.repeat(np.arange(len(size)), size)[few], other[few], key[few]
+        for gap in range(1, int(size[(size > 1) & (size <= SHORT)].max(initial=1))):
+            at = np.flatnonzero((run[gap:] == run[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= OTHER_RADIUS))
+            pairs.append(np.stack((name[at], name[at + gap])))
+        for k in np.flatnonzero(size > SHORT):
+            rows = np.arange(edge[k], edge[k + 1])
+            for found in _reach(other, rows[np.argsort(key[rows])]):
+                stars.append(np.stack((np.full(len(found) - 1, slot[found[0]], np.int64), np.full(len(found) - 1, key[found[0]]), key[found[1:]])))
+        pairs, stars = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1), np.concatenate(stars, axis=1)
+        columns = [np.concatenate((np.full(pairs.shape[1], -1), stars[0])), np.concatenate((pairs[0], stars[1])), np.concatenate((pairs[1], stars[2]))]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["slot", "u", "v"])
+
+    held, last = [], None
     for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= 100_000:
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column(0).to_numpy()
-            cut = int(np.flatnonzero(key != key[-1]).max(initial=-1)) + 1
-            if cut:
-                yield table.slice(0, cut)
-            held, rows = table.slice(cut).combine_chunks().to_batches(), len(key) - cut
+        for part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if part != last and held:
+                yield meet(held)
+                held = []
+            held.append(block)
+            last = part
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield meet(held)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (slot, key), sorted by both, whose slot more than one key has; each once."""
-    for table in _groups(batches):
-        slot, key = (table.column(k).to_numpy() for k in range(2))
-        new = np.concatenate(([True], (slot[1:] != slot[:-1]) | (key[1:] != key[:-1])))
-        slot, key = slot[new], key[new]
-        same = slot[1:] == slot[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        yield pa.RecordBatch.from_arrays([pa.array(slot[many]), pa.array(key[many])], ["slot", "key"])
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (gid, comp, key, w0..) sorted by gid and comp: the pairs of a star's members that are not joined yet and whose fingerprints are near."""
 
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        comp, key = table.column(1).to_numpy(), table.column(2).to_numpy()
+        wide = np.stack([table.column(3 + w).to_numpy() for w in range(WIDE)], axis=1).view(np.uint64)
+        out = [np.empty((2, 0), np.int64)]
+        for k, end in enumerate(np.searchsorted(comp, comp, "right").tolist()):
+            near = end + np.flatnonzero(np.bitwise_count(wide[end:] ^ wide[k]).sum(axis=1) <= WIDE_RADIUS)
+            out.append(np.sort(np.stack((np.full(len(near), key[k]), key[near])), axis=0))
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
 
-def _candidates(threshold: float, star: bool):
-    """From rows (slot, comp, key, n, wide) sorted by slot and comp: pairs of a slot whose sizes and wide fingerprints allow the threshold.
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        gid = b.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1], [True])))
+        for a, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if held and held[0].column(0)[0].as_py() != gid[a]:
+                yield pairs(held)
+                held = []
+            held.append(b.slice(a, e - a))
+    if held:
+        yield pairs(held)
 
-    As a star, in slots of more than STAR rows, each with the first of its slot; else each with those of other components.
-    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            slot, comp, key, n = (table.column(k).to_numpy() for k in range(4))
-            wide = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)
-            edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-            out = [np.empty((2, 0), np.int64)]
-            for a, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if e - a <= STAR if star else comp[a] == comp[e - 1]:
-                    continue
-                ends = [a + 1] if star else a + np.searchsorted(comp[a:e], comp[a:e], "right")
-                for k, end in enumerate(ends):
-                    i, j = a + k, np.arange(end, e)
-                    j = j[np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9]
-                    j = j[np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) <= WIDE_RADIUS]
-                    if len(j):
-                        out.append(np.sort(np.stack((np.full(len(j), key[i]), key[j])), axis=0))
-            found = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
-
-    return pairs
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard index of `threshold` or more."""
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
+    """The pairs (u, v) whose complete fingerprints are near and whose sets have a Jaccard index of `threshold` or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, np.empty(0, np.uint64)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b, good = whole.slice(k, 256), []
-                for v, tu, tv in zip(*(c.to_pylist() for c in b.columns[1:])):
-                    if v != last:
-                        last, x = v, _unpack(tv, words)
-                    y = _unpack(tu, words)
+                for u, tu, tv in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    if u != last:
+                        last, x = u, _unpack(tu, words)
+                    y = _unpack(tv, words)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both / (len(x) + len(y) - both) >= threshold)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
 
-    pairs = materialise(pairs.distinct(), f"{name}-met")
+    of = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(w + x) for w in _PRINT))
+    apart = sum((F.bit_count(F.col(w + "u").bitwiseXOR(F.col(w + "v"))) for w in _PRINT), F.lit(0))
+    sized = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9
+    pairs = pairs.select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").where(sized & (apart <= WIDE_RADIUS)).select("u", "v")
+    pairs = materialise(pairs, f"{name}-met")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     held = materialise(sets.select("key", "packed").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed")), f"{name}-texts")
     a, b = held.select(F.col("key").alias("u"), F.col("packed").alias("tu")), held.select(F.col("key").alias("v"), F.col("packed").alias("tv"))
-    return materialise(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), f"{name}-links")
+    return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), f"{name}-links")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row, under the links of all texts whose sets of shingles have a Jaccard index of `threshold` or more.
-
-    Equal sets are one class. The rarest n - ceil(threshold * n) + 1 shingles of a set are indexed, so two sets that must be linked share
-    one of them. Those that meet are compared by size and by a SimHash of 256 bits (at 0.8 some 39 differ, up to 48 in the smallest sets; 80 are
-    let through), and what is left by the sets themselves. In large slots each first meets the first of the slot; after that only sets which these
-    links have not yet joined are compared, so a cluster of near copies costs a star and not all pairs. A text without words is only like others without words.
-    """
+def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, least, comp) of every class of equal sets of shingles: its smallest id and its component."""
     spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = materialise(rows.mapInArrow(_read(words), "doc_id long, key long, n long, wide binary, packed binary"), "shingle-sets")
-    sets = read.where("n >= 0")
-    classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("wide").alias("wide")), "shingle-classes")
-    counts = spark.sparkContext.broadcast(_counts(read))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            slots, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key not in seen:
-                    seen.add(key)
-                    slots.append(rarest(_unpack(x, words), counts.value, threshold).view(np.int64))
-                    keys.append(np.full(len(slots[-1]), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), pa.array(np.concatenate(keys))], ["slot", "key"])
-
-    slots = sets.select("key", "packed").mapInArrow(index, "slot long, key long").repartition(n, "slot").sortWithinPartitions("slot", "key")
-    met = materialise(materialise(slots.mapInArrow(_shared, "slot long, key long"), "shared").join(classes.select("key", "n", "wide"), "key"), "met")
-    deal = lambda d: d.select("slot", "comp", "key", "n", "wide").repartition(n, "slot").sortWithinPartitions("slot", "comp", "key")
-    links = _verified(deal(met.withColumn("comp", F.col("key"))).mapInArrow(_candidates(threshold, True), "u long, v long"), sets, words, threshold, "star")
-    joined = connected_components(links).withColumnRenamed("node", "key")
-    rest = deal(met.join(joined, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
-    links = links.unionByName(_verified(rest.mapInArrow(_candidates(threshold, False), "u long, v long"), sets, words, threshold, "rest"))
+    sets = materialise(rows.mapInArrow(_read(words), _READ), "shingle-sets")
+    classes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _PRINT))
+    classes = materialise(classes, "shingle-classes")
+    parts = max(n, classes.count() * TABLES * (SEGMENT // 2 + 1) // PART_ENTRIES)
+    blocks = classes.select("key", *_PRINT).mapInArrow(_tables(parts), "part int, entries binary").repartition(n, "part").sortWithinPartitions("part")
+    met = materialise(blocks.mapInArrow(_fetch, "slot long, u long, v long"), "near-met")
+    links = _verified(met, classes, sets, words, threshold, "near")
+
+    # members of a star whose links did not all hold: what is still apart is compared
     comps = connected_components(links).withColumnRenamed("node", "key")
-    placed = materialise(classes.join(comps, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp")), "near-placed")
+    stars = met.where("slot >= 0").select(F.xxhash64("slot", "u").alias("gid"), F.explode(F.array("u", "v")).alias("key")).distinct()
+    stars = stars.join(comps, "key", "left").select("gid", "key", F.coalesce("comp", "key").alias("comp"))
+    open_ = stars.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gid")
+    rest = stars.join(open_, "gid", "left_semi").join(classes.select("key", *_PRINT), "key").select("gid", "comp", "key", *_PRINT)
+    rest = materialise(rest.repartition(n, "gid").sortWithinPartitions("gid", "comp").mapInArrow(_across, "u long, v long"), "near-rest")
+    if not rest.isEmpty():
+        comps = connected_components(links.unionByName(_verified(rest, classes, sets, words, threshold, "rest"))).withColumnRenamed("node", "key")
+    return sets.select("doc_id", "key"), materialise(classes.join(comps, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp")), "near-placed")
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row, under links of texts whose sets of shingles have a Jaccard index of `threshold` or more.
+
+    Equal sets are one class. Each class has a SimHash of 64 * WIDE bits, PER_WORD segments of SEGMENT bits a word, and a table a segment; it is put under the
+    segment and under the small ball of values with one zero bit set. Two classes that share a table value and whose next words are near are compared by their
+    complete fingerprints and then by the sets themselves, so no link is false. Links are lost by chance only, at every size of the table alike: at 0.8 some
+    15 bits of 100 differ, and two such texts meet in none of the 12 tables 6 times in 1000. Where many share a value a star of them is compared; only
+    members of a star that its links did not join are compared further, so a cluster of near copies costs no pairs. A text without words
+    is only like others without words.
+    """
+    sets, placed = _near_classes(df, id_col, text_col, words, threshold)
     named = placed.join(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("key", "component_id")
-    return sets.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    return sets.join(named, "key").select("doc_id", "component_id")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -366,6 +413,6 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     Rows are told apart by their id: where an id repeats, all its rows stay if one of them does.
     """
-    found = near_components(df, id_col, text_col, words, threshold)
-    stays = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct(), "stays")
+    _, placed = _near_classes(df, id_col, text_col, words, threshold)
+    stays = materialise(placed.groupBy("comp").agg(F.min("least").alias("__keep")).select("__keep").distinct(), "stays")
     return df.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
