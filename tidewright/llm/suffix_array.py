@@ -2,7 +2,7 @@
 
 The induction runs bucket by bucket: all suffixes that stand in a bucket when it is reached induce their predecessors together, in order, and
 those that land in the same bucket form the next generation of it. Names of the leftmost-smaller (LMS) substrings make a string at most half as
-long, which is sorted the same way while its alphabet is small and by doubling ranks when it is large.
+long, which is sorted the same way; an alphabet of more than SMALL_ALPHABET names is induced suffix by suffix.
 """
 
 from __future__ import annotations
@@ -89,29 +89,29 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
     return sa
 
 
-def _double(s: np.ndarray) -> np.ndarray:
-    """The suffix array of s by doubling ranks; only ranks that are not yet unique are sorted again."""
-    n = len(s)
-    sa = np.argsort(s, kind="stable")
-    v = s[sa]
-    new = np.concatenate(([True], v[1:] != v[:-1]))
-    k = 1
-    while True:
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[sa] = group
-        alone = new & np.concatenate((new[1:], [True]))
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
-            return sa
-        p = sa[open_]
-        far = p + k
-        nxt = np.where(far < n, rank[np.minimum(far, n - 1)], -1)
-        order = np.lexsort((nxt, group[open_]))
-        sa[open_] = p[order]
-        g, x = group[open_][order], nxt[order]
-        new[open_] = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
-        k *= 2
+def _induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same as _induce, one suffix at a time: for alphabets so large that a bucket holds few suffixes."""
+    ends = np.cumsum(size)
+    text, is_small, tail, head = s.tolist(), small.tolist(), ends.tolist(), (ends - size).tolist()
+    sa = [0] * len(text)  # 0 has no predecessor, so an unfilled place induces nothing
+    for p in lms[::-1].tolist():
+        c = text[p]
+        tail[c] -= 1
+        sa[tail[c]] = p
+    for k in range(len(sa)):
+        p = sa[k] - 1
+        if p >= 0 and not is_small[p]:
+            c = text[p]
+            sa[head[c]] = p
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        p = sa[k] - 1
+        if p >= 0 and is_small[p]:
+            c = text[p]
+            tail[c] -= 1
+            sa[tail[c]] = p
+    return np.array(sa)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -122,9 +122,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     size = np.bincount(s)
     small = _classify(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    induce = _induce if len(size) <= SMALL_ALPHABET else _induce_singly
     if len(lms) < 2:
-        return _induce(s, small, lms, size)
-    rough = _induce(s, small, lms, size)
+        return induce(s, small, lms, size)
+    rough = induce(s, small, lms, size)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     rough = rough[is_lms[rough]]
@@ -149,8 +150,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if name[-1] == len(lms) - 1:
         order = np.argsort(short, kind="stable")
     else:
-        order = suffix_array(short) if name[-1] < SMALL_ALPHABET else _double(short)
-    return _induce(s, small, lms[order], size)
+        order = suffix_array(short)
+    return induce(s, small, lms[order], size)
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
