@@ -37,9 +37,12 @@ class Node:
                         k += 1
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for _, _, child in self.children():
-            yield from child.walk()
+        """The node and all below it, parents first, by a loop."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(reversed([child for _, _, child in node.children()]))
 
     def __repr__(self) -> str:
         return f"{self.kind}[{self.start},{self.end}){self.fields}"

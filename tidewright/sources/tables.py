@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where that is unset and the session runs on this machine alone."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="tidewright-")
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """df written in spark.checkpoint.dir (a folder of our own only where that is unset) and read again, which ends its lineage."""
-    spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
-    path = f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    """df written in the shared folder and read again, which ends its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parquet_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
