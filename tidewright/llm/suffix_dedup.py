@@ -5,7 +5,9 @@ place, so strings are dealt to shards by the anchor's hash and a shard holds all
 same anchor form one context, the bytes from the first one's start to the last one's end. Contexts whose anchor is found once are not
 repeated; where all contexts of an anchor are the same bytes, all their strings are; the others, one copy of each, go to a shard.
 A shard's contexts are sorted by induced sorting (suffix_array) and permuted common prefixes tell which strings stand at two places or more.
-An anchor with more than HOT different contexts is dealt on by the hash of the whole string, so one anchor never fills a task.
+An anchor with more than HOT different contexts is dealt on: each of its contexts is cut anew by anchors under another hash, equal pieces become one,
+and the pieces' spans are carried back; so on for LEVELS levels. Only strings that share all these anchors with more than HOT different neighbours
+are dealt by the hash of the whole string and compared by 128 bits of it, so one anchor never fills a task.
 
 Bytes of the UTF-8 text are counted; null text is empty; matches do not cross documents; texts shorter than LENGTH lose nothing. Repeated rows
 are repeats of each other. Null ids get their row like others. Other columns are ignored; an empty table gives no rows.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -28,6 +30,7 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 400
 KGRAM = 40
 HOT = 4000
+LEVELS = 6
 SHARD_BYTES = 1 << 20
 BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,11 +51,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, BLOCK + 2 * LENGTH + 2), _powers(_INVERSE, BLOCK + 2 * LENGTH + 2)
 
 
-def _kgram_hashes(x: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of every KGRAM bytes of at most BLOCK + 2 * LENGTH bytes."""
+def _kgram_hashes(x: np.ndarray, level: int = 0) -> np.ndarray:
+    """A mixed 64-bit hash of every KGRAM bytes of at most BLOCK + 2 * LENGTH bytes; another one for each level."""
     n = len(x)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _UP[:n], dtype=np.uint64)))
     h = (total[KGRAM:] - total[:-KGRAM]) * _DOWN[: n - KGRAM + 1]
+    h ^= np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -71,13 +75,13 @@ def _first_least(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & low).astype(np.int64)
 
 
-def contexts(data: bytes) -> list[tuple[int, int, int]]:
+def contexts(data: bytes, level: int = 0) -> list[tuple[int, int, int]]:
     """(anchor hash, first start, number of starts) of each context of a whole text, in order."""
     n, w, out = len(data), LENGTH - KGRAM + 1, []
     x = np.frombuffer(data, np.uint8)
     for base in range(0, n - LENGTH + 1, BLOCK):
         part = x[base : base + BLOCK + LENGTH - 1]
-        h = _kgram_hashes(part)
+        h = _kgram_hashes(part, level)
         at = _first_least(h, w)
         edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         count = np.diff(np.concatenate((edge, [len(at)])))
@@ -138,8 +142,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(tk, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], [x.split()[0] for x in _OCC.split(", ")])
 
 
+_RAW = "h long, c long, copies long, n int, raw binary"
+_PIECE = f"ph long, pc long, k int, {_RAW}"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(zip(*rows), named)], [name for name, _ in named])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of wanted contexts: (h, c, copies, hot, n, bytes) from (text, wanted)."""
+    """The bytes of wanted contexts: (h, c, copies, n, raw) from (text, wanted)."""
     for b in batches:
         rows = []
         for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
@@ -147,8 +161,24 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 rows.append((w["h"], w["c"], w["copies"], w["n"], data.slice(w["start"], w["n"] - 1 + LENGTH).to_pybytes()))
         if rows:
-            h, c, copies, n, raw = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(copies, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], ["h", "c", "copies", "n", "raw"])
+            yield _batch(rows, _RAW)
+
+
+def _recut(level: int):
+    """The pieces of crowded contexts under another level's anchors: where in which context, and (h, c, copies, n, raw) like a context."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, c, copies, _, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
+                for a, k, n in contexts(raw, level):
+                    piece = raw[k : k + n - 1 + LENGTH]
+                    deep = xxhash.xxh3_64_intdigest(h.to_bytes(8, "little", signed=True) + a.to_bytes(8, "little", signed=True)) - (1 << 63)
+                    rows.append((h, c, k, deep, xxhash.xxh3_64_intdigest(piece) - (1 << 63), copies, n, piece))
+            if rows:
+                yield _batch(rows, _PIECE)
+
+    return cut
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,36 +224,50 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = "array<struct<a:int,b:int>>"
 
 
+def _moved(by) -> Column:
+    return F.transform("spans", lambda x: F.struct((by + x.a).cast("int").alias("a"), (by + x.b).cast("int").alias("b"))).cast(_SPANS)
+
+
+def _span_table(raw: DataFrame, anchors: DataFrame, hot: int, level: int = 1) -> DataFrame:
+    """(h, c, spans) of contexts (h, c, copies, n, raw): which of their strings stand at two places or more. anchors: each context's h, once."""
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = materialise(anchors.groupBy("h").count().where(F.col("count") > hot).select("h"), "crowded")
+    busy = not crowded.isEmpty()
+    raw = materialise(raw, "context-bytes") if busy else raw
+    plain = raw.join(crowded, "h", "left_anti").select("h", "c", "copies", "n", "raw") if busy else raw
+    # (h, c) twice only when rows repeat an id and a text: the second adds nothing
+    spans = plain.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_dedup_shards, f"h long, c long, spans {_SPANS}")
+    if not busy:
+        return spans
+    inside = raw.dropDuplicates(["h", "c"]).join(crowded, "h").select("h", "c", "copies", "n", "raw")
+    if level < LEVELS:
+        pieces = materialise(inside.mapInArrow(_recut(level), _PIECE), "pieces")
+        alike = pieces.groupBy("h", "c").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("raw").alias("raw"))
+        alike = materialise(alike, "alike")
+        found = _span_table(alike.select("h", "c", "copies", "n", "raw"), alike.select("h"), hot, level + 1)
+        back = pieces.select("h", "c", "ph", "pc", "k").join(found, ["h", "c"])
+        return spans.unionByName(back.select(F.col("ph").alias("h"), F.col("pc").alias("c"), _moved(F.col("k")).alias("spans")))
+    strings = materialise(inside.mapInArrow(_strings, "h long, c long, k int, s1 long, s2 long, copies long"), "strings")
+    again = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("all")).where(F.col("all") > 1).select("s1", "s2")
+    hit = strings.join(again, ["s1", "s2"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).cast(_SPANS).alias("spans"))
+    return spans.unionByName(hit)
+
+
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, tk) of every row, and (tk, covers): the byte ranges to remove of each text that has any, not yet merged."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tk"))
     occ = materialise(docs.select("doc_id", "tk", "text").mapInArrow(_occurrences, _OCC), "contexts")
     anchors = occ.groupBy("h").agg(F.count("*").alias("all"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(F.col("all") > 1)
-    occ = materialise(occ.join(anchors.select("h", (F.col("c1") != F.col("c2")).alias("mixed")), "h"), "repeated-anchors")
+    # written, so that the join deals both sides anew and a hot anchor can be split
+    anchors = materialise(anchors.select("h", (F.col("c1") != F.col("c2")).alias("mixed")), "anchors")
+    occ = materialise(occ.join(anchors, "h"), "repeated-anchors")
     classes = occ.groupBy("h", "c", "mixed").agg(F.count("*").alias("copies"), F.min(F.struct("tk", "doc_id", "start", "n")).alias("at"))
     classes = materialise(classes.select("h", "c", "mixed", "copies", "at.*"), "classes")
     same = classes.where(~F.col("mixed")).select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).cast(_SPANS).alias("spans"))
-    mixed = classes.where("mixed")
-    crowded = materialise(mixed.groupBy("h").count().where(F.col("count") > hot).select("h"), "crowded")
-    wanted = mixed.groupBy("tk", "doc_id").agg(F.collect_list(F.struct("h", "c", "copies", "start", "n")).alias("wanted"))
+    wanted = classes.where("mixed").groupBy("tk", "doc_id").agg(F.collect_list(F.struct("h", "c", "copies", "start", "n")).alias("wanted"))
     found = docs.alias("d").join(wanted.alias("w"), (F.col("d.tk") == F.col("w.tk")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "wanted")
-    raw = found.mapInArrow(_extract, "h long, c long, copies long, n int, raw binary")
-    busy = not crowded.isEmpty()
-    if busy:
-        raw = materialise(raw, "context-bytes").dropDuplicates(["h", "c"])
-        strings = raw.join(crowded, "h").select("h", "c", "copies", "n", "raw").mapInArrow(_strings, "h long, c long, k int, s1 long, s2 long, copies long")
-        strings = materialise(strings, "strings")
-        again = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("all")).where(F.col("all") > 1).select("s1", "s2")
-        hit = strings.join(again, ["s1", "s2"]).groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).cast(_SPANS).alias("spans"))
-        raw = raw.join(crowded, "h", "left_anti").select("h", "c", "copies", "n", "raw")
-    # (h, c) twice only when rows repeat an id and a text: the second adds nothing
-    sharded = raw.repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(_dedup_shards, f"h long, c long, spans {_SPANS}")
-    spans = same.unionByName(sharded)
-    if busy:
-        spans = spans.unionByName(hit)
+    spans = same.unionByName(_span_table(found.mapInArrow(_extract, _RAW), classes.where("mixed").select("h"), hot))
     covers = occ.select("h", "c", "tk", "start").join(spans, ["h", "c"])
     covers = covers.select("tk", F.transform("spans", lambda x: F.struct((F.col("start") + x.a).alias("a"), (F.col("start") + x.b - 1 + LENGTH).alias("b"))).alias("covers"))
     covers = covers.groupBy("tk").agg(F.flatten(F.collect_set("covers")).alias("covers"))
