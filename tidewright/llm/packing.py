@@ -27,6 +27,7 @@ from .tokens import default_tokenizer, encoder
 
 WINDOW = 2048
 SHARD_TOKENS = 500_000
+TASK_TOKENS = 8_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -177,7 +178,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = materialise(rows.mapInArrow(encode, "doc_id long, lexical long, ids binary"), "pack-ids")
-    corpus = df.sparkSession.sparkContext.broadcast(corpus_statistics(ids, vocabulary))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = corpus_statistics(ids, vocabulary)
+    corpus = df.sparkSession.sparkContext.broadcast(counted)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counted[0] * counted[1] / TASK_TOKENS))
     dealt = ids.repartitionByRange(n, "lexical", F.col("doc_id").asc_nulls_first()).sortWithinPartitions("lexical", F.col("doc_id").asc_nulls_first())
     return materialise(dealt.select("doc_id", "ids").mapInArrow(windows, PIECES), "pieces")
