@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset and the session runs on this machine alone (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -55,10 +57,10 @@ def filesystem(uri: str):
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, comp) for every node of the undirected edges, comp being the smallest node that it reaches.
 
-    Alternating large-star and small-star rounds; each is two aggregations and two joins on the node, so a node with very
-    many edges is pre-aggregated on the map side and split by AQE's skew join. Rounds end when the edge set stands still.
+    Alternating large-star and small-star rounds; each is two aggregations, pre-aggregated on the map side, and two joins on the node. The
+    aggregates are written before they are joined, so that the join deals both sides anew and AQE can split a node with very many edges.
+    Rounds end when the edge set stands still.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, seen = materialise(e, "cc"), None
     while True:
@@ -67,11 +69,12 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
             break
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        small = small.unionByName(low.select("u", F.col("m").alias("v")))
+        e = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     reached = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
     roots = e.select(F.col("v").alias("node")).distinct().join(reached, "node", "left_anti")
     return reached.unionByName(roots.select("node", F.col("node").alias("comp")))
