@@ -4,8 +4,9 @@ A document is a bag of sentences. A logistic model gives each sentence a probabi
 noisy-or makes the document's: 1 - product(1 - p). The weights are trained through the noisy-or from labels of documents only, and the
 sentence probabilities then say where the offending sentences are.
 
-Training rows are a bounded sample (`positives`, `negatives`: the ids with the smallest hashes) of the labelled rows; the features kept are those
-whose document counts differ significantly between the classes, `features` at most. The model is so of bounded size and is sent to the executors.
+Training rows are a bounded sample (`positives`, `negatives`: the ids with the smallest hashes; `longest`: code points of a text) of the labelled
+rows; the features kept are those whose document counts differ significantly between the classes, `features` at most. The model is so of
+bounded size and is sent to the executors. Texts of any length are scored whole.
 Null and empty texts have no sentence and score 0; null labels and ids are not learned from; repeated labels count once, as toxic if any says so; without
 labelled rows of both kinds every score is 0. Other columns are ignored.
 """
@@ -142,10 +143,11 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 2000, negatives: int = 4000) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 2000, negatives: int = 4000, longest: int = 50_000) -> ToxicModel:
     rows = training_rows(labels).withColumn("tie", F.xxhash64("doc_id"))
     picked = rows.where("toxic > 0").orderBy("tie", "doc_id").limit(positives).unionByName(rows.where("toxic = 0").orderBy("tie", "doc_id").limit(negatives))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").where("text is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id")
+    texts = texts.where("text is not null").where(F.length("text") <= longest)
     got = sorted({(r.doc_id, r.text, int(r.toxic > 0)) for r in texts.toLocalIterator()})
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
@@ -161,17 +163,42 @@ def score_column(model: ToxicModel, text):
     return score(text)
 
 
+def offending(model: ToxicModel, text: str) -> list[tuple[int, int, float]]:
+    """(start, end, probability) of each sentence with a word, in order; code points."""
+    out = []
+    for s in SENTENCE.finditer(text):
+        low = s[0].lower()
+        if WORD.search(low):
+            out.append((s.start(), s.end(), 1 / (1 + math.exp(-max(-700.0, model.sentence(low))))))
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+    """(doc_id, held_out, score, predicted, worst_start, worst_end, n_sentences) of every row.
+
+    The last three say where a text that is predicted offends: its most offending sentence, the first of equals, and how many sentences have a
+    probability of `threshold` or more; they are null for other texts.
+    """
     model = fit(docs, labels, id_col, text_col)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.array([model.score(t) for t in b.column(2).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= threshold).astype("i4"))], ["doc_id", "held_out", "score", "predicted"])
+            texts = b.column(2).to_pylist()
+            scores = np.array([model.score(t) for t in texts], float)
+            where: list[tuple] = []
+            for t, p in zip(texts, scores):
+                found = offending(model, t) if p >= threshold else []
+                worst = max(found, key=lambda x: x[2], default=None)
+                where.append((worst[0], worst[1], sum(x[2] >= threshold for x in found)) if worst else (None, None, None))
+            placed = [pa.array(x, pa.int64()) for x in zip(*where)] if where else [pa.array([], pa.int64())] * 3
+            columns = [b.column(0), b.column(1), pa.array(scores), pa.array((scores >= threshold).astype("i4")), *placed]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batch, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(batch, _SCORED)
+
+
+_SCORED = "doc_id long, held_out boolean, score double, predicted int, worst_start long, worst_end long, n_sentences long"
 
 
 def toxic_sentences(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -179,17 +206,15 @@ def toxic_sentences(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s in SENTENCE.finditer(t or ""):
-                    p = 1 / (1 + math.exp(-max(-700.0, model.sentence(s[0].lower()))))
-                    if p >= threshold:
-                        rows.append((d, s.start(), s.end(), s[0], p))
+            texts = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            rows = [(d, a, e, t[a:e], p) for d, t in texts for a, e, p in offending(model, t or "") if p >= threshold]
             if rows:
                 d, a, e, s, p = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(e, pa.int64()), pa.array(s), pa.array(p, pa.float64())], ["doc_id", "start", "end", "sentence", "score"])
+                columns = [pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(e, pa.int64()), pa.array(s), pa.array(p, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "sentence", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batch, "doc_id long, start long, end long, sentence string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batch, "doc_id long, start long, end long, sentence string, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
