@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: the lineage ends there, and any executor may be lost."""
+_passing: list[list[str]] = []
+
+
+def _written(df: DataFrame, name: str, scopes: list[list[str]]) -> DataFrame:
     path = scratch(df.sparkSession, name)
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: the lineage ends there, and any executor may be lost."""
+    return _written(df, name, _passing)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """materialise, for what the result of a `passing` block is read from: it outlasts the innermost block."""
+    return _written(df, name, _passing[:-1])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """What is materialised inside is removed at the end, so it must not be read afterwards."""
+    mine: list[str] = []
+    _passing.append(mine)
+    try:
+        yield
+    finally:
+        _passing.pop()
+        for path in mine:
+            remove(spark, path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

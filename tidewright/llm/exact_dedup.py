@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lasting, materialise, passing
 
 COUNTERS = 1024
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,8 +79,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with their columns."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    kept = materialise(kept, "kept")
+    with passing(df.sparkSession):
+        kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
+        kept = lasting(kept, "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = df.withColumn("__digest", F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)))
     out = marked.join(kept, marked["__digest"].eqNullSafe(kept["__digest"]) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lasting, materialise, passing
 from .tokens import default_tokenizer, encoder
 
 WINDOW = 2048
@@ -176,10 +176,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         if docs:
             yield shard()
 
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = materialise(rows.mapInArrow(encode, "doc_id long, lexical long, ids binary"), "pack-ids")
-    counted = corpus_statistics(ids, vocabulary)
-    corpus = df.sparkSession.sparkContext.broadcast(counted)
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counted[0] * counted[1] / TASK_TOKENS))
-    dealt = ids.repartitionByRange(n, "lexical", F.col("doc_id").asc_nulls_first()).sortWithinPartitions("lexical", F.col("doc_id").asc_nulls_first())
-    return materialise(dealt.select("doc_id", "ids").mapInArrow(windows, PIECES), "pieces")
+    with passing(spark):
+        ids = materialise(rows.mapInArrow(encode, "doc_id long, lexical long, ids binary"), "pack-ids")
+        counted = corpus_statistics(ids, vocabulary)
+        corpus = spark.sparkContext.broadcast(counted)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counted[0] * counted[1] / TASK_TOKENS))
+        dealt = ids.repartitionByRange(n, "lexical", F.col("doc_id").asc_nulls_first()).sortWithinPartitions("lexical", F.col("doc_id").asc_nulls_first())
+        return lasting(dealt.select("doc_id", "ids").mapInArrow(windows, PIECES), "pieces")

@@ -22,10 +22,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, lasting, materialise, passing
 
 SEGMENTS = ((0, 21, True), (21, 21, True), (42, 22, False))
 RADIUS = 4
@@ -35,9 +35,9 @@ WIDE = 4
 SEGMENT = 18
 PER_WORD = 3
 TABLES = WIDE * PER_WORD
-OTHER_RADIUS = 20
-WIDE_RADIUS = 72
-SHORT = 64
+OTHER_RADIUS = 16
+WIDE_RADIUS, SMALL_SET, SMALL_RADIUS = 60, 32, 72
+SHORT = 16
 PART_ENTRIES = 500_000
 
 
@@ -163,11 +163,12 @@ def near_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
-    docs = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
-    classes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    comps = connected_components(materialise(near_links(classes.select("fp")), "near"))
-    placed = classes.join(comps, classes.fp == comps.node, "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
-    placed = materialise(placed, "placed")
+    with passing(df.sparkSession):
+        docs = lasting(fingerprints(df, id_col, text_col, words), "fingerprints")
+        classes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        comps = connected_components(materialise(near_links(classes.select("fp")), "near"))
+        placed = classes.join(comps, classes.fp == comps.node, "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+        placed = lasting(placed, "placed")
     names = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = placed.join(names, "comp").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -313,31 +314,34 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield meet(held)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (gid, comp, key, w0..) sorted by gid and comp: the pairs of a star's members that are not joined yet and whose fingerprints are near."""
+def _shingles(words: int):
+    """(key, comp, n, sh): every shingle of the sets of rows (key, comp, packed)."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        comp, key = table.column(1).to_numpy(), table.column(2).to_numpy()
-        wide = np.stack([table.column(3 + w).to_numpy() for w in range(WIDE)], axis=1).view(np.uint64)
-        out = [np.empty((2, 0), np.int64)]
-        for k, end in enumerate(np.searchsorted(comp, comp, "right").tolist()):
-            near = end + np.flatnonzero(np.bitwise_count(wide[end:] ^ wide[k]).sum(axis=1) <= WIDE_RADIUS)
-            out.append(np.sort(np.stack((np.full(len(near), key[k]), key[near])), axis=0))
-        found = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        gid = b.column(0).to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1], [True])))
-        for a, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if held and held[0].column(0)[0].as_py() != gid[a]:
-                yield pairs(held)
-                held = []
-            held.append(b.slice(a, e - a))
-    if held:
-        yield pairs(held)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                held = [_unpack(x, words) for x in b.column(2).to_pylist()]
+                n = np.array([len(x) for x in held])
+                columns = [np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n), np.repeat(n, n), np.concatenate(held).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "comp", "n", "sh"])
+
+    return spread
+
+
+def _apart(members: DataFrame, sets: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Pairs (u, v) of members (key, comp) of different components that may reach the threshold: they share one of the n - ceil(threshold * n) + 1
+    shingles of a set that fewest members hold, as any two sets that reach it must. So members that only share what all of them share never meet."""
+    texts = sets.select("key", "packed").join(members, "key").groupBy("key", "comp").agg(F.first("packed").alias("packed"))
+    spots = materialise(texts.mapInArrow(_shingles(words), "key long, comp long, n long, sh long"), "member-shingles")
+    holders = materialise(spots.groupBy("sh").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("holders", F.lit(1)), "sh"))
+    rare = spots.join(holders, "sh", "left").withColumn("place", place)
+    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & F.col("holders").isNotNull())
+    rare = materialise(rare.select("key", "comp", "n", "sh"), "rare-shingles")
+    side = lambda x: rare.select(F.col("key").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), "sh")
+    sized = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9
+    return side("u").join(side("v"), "sh").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sized).select("u", "v").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
@@ -359,7 +363,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, words: int,
     of = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(w + x) for w in _PRINT))
     apart = sum((F.bit_count(F.col(w + "u").bitwiseXOR(F.col(w + "v"))) for w in _PRINT), F.lit(0))
     sized = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9
-    pairs = pairs.select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").where(sized & (apart <= WIDE_RADIUS)).select("u", "v")
+    radius = F.when(F.least("nu", "nv") < SMALL_SET, SMALL_RADIUS).otherwise(WIDE_RADIUS)
+    pairs = pairs.select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").where(sized & (apart <= radius)).select("u", "v")
     pairs = materialise(pairs, f"{name}-met")
     if pairs.isEmpty():
         return pairs
@@ -383,11 +388,14 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
 
     # members of a star whose links did not all hold: what is still apart is compared
     comps = connected_components(links).withColumnRenamed("node", "key")
-    stars = met.where("slot >= 0").select(F.xxhash64("slot", "u").alias("gid"), F.explode(F.array("u", "v")).alias("key")).distinct()
-    stars = stars.join(comps, "key", "left").select("gid", "key", F.coalesce("comp", "key").alias("comp"))
-    open_ = stars.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gid")
-    rest = stars.join(open_, "gid", "left_semi").join(classes.select("key", *_PRINT), "key").select("gid", "comp", "key", *_PRINT)
-    rest = materialise(rest.repartition(n, "gid").sortWithinPartitions("gid", "comp").mapInArrow(_across, "u long, v long"), "near-rest")
+    stars = materialise(met.where("slot >= 0").select("u", "v").distinct(), "near-stars")
+    comp = lambda x: comps.select(F.col("key").alias(x), F.col("comp").alias(f"c{x}"))
+    stars = stars.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+    stars = materialise(stars, "near-star-comps")
+    stars = stars.join(stars.where("cu <> cv").select("u").distinct(), "u", "left_semi")
+    members = stars.select(F.col("u").alias("key"), F.col("cu").alias("comp")).unionByName(stars.select(F.col("v").alias("key"), F.col("cv").alias("comp")))
+    members = materialise(members.distinct(), "near-members")
+    rest = materialise(_apart(members, sets, words, threshold), "near-rest")
     if not rest.isEmpty():
         comps = connected_components(links.unionByName(_verified(rest, classes, sets, words, threshold, "rest"))).withColumnRenamed("node", "key")
     return sets.select("doc_id", "key"), materialise(classes.join(comps, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp")), "near-placed")
@@ -400,12 +408,14 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segment and under the small ball of values with one zero bit set. Two classes that share a table value and whose next words are near are compared by their
     complete fingerprints and then by the sets themselves, so no link is false. Links are lost by chance only, at every size of the table alike: at 0.8 some
     15 bits of 100 differ, and two such texts meet in none of the 12 tables 6 times in 1000. Where many share a value a star of them is compared; only
-    members of a star that its links did not join are compared further, so a cluster of near copies costs no pairs. A text without words
+    members of a star that its links did not join are compared further, and of these only those that share rare shingles, so neither a cluster
+    of near copies nor one of texts that are not quite near costs all its pairs. A text without words
     is only like others without words.
     """
-    sets, placed = _near_classes(df, id_col, text_col, words, threshold)
-    named = placed.join(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("key", "component_id")
-    return sets.join(named, "key").select("doc_id", "component_id")
+    with passing(df.sparkSession):
+        sets, placed = _near_classes(df, id_col, text_col, words, threshold)
+        named = placed.join(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("key", "component_id")
+        return lasting(sets.join(named, "key").select("doc_id", "component_id"), "near-components")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -413,6 +423,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     Rows are told apart by their id: where an id repeats, all its rows stay if one of them does.
     """
-    _, placed = _near_classes(df, id_col, text_col, words, threshold)
-    stays = materialise(placed.groupBy("comp").agg(F.min("least").alias("__keep")).select("__keep").distinct(), "stays")
+    with passing(df.sparkSession):
+        _, placed = _near_classes(df, id_col, text_col, words, threshold)
+        stays = lasting(placed.groupBy("comp").agg(F.min("least").alias("__keep")).select("__keep").distinct(), "stays")
     return df.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lasting, materialise, passing
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 400
@@ -271,7 +271,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     covers = occ.select("h", "c", "tk", "start").join(spans, ["h", "c"])
     covers = covers.select("tk", F.transform("spans", lambda x: F.struct((F.col("start") + x.a).alias("a"), (F.col("start") + x.b - 1 + LENGTH).alias("b"))).alias("covers"))
     covers = covers.groupBy("tk").agg(F.flatten(F.collect_set("covers")).alias("covers"))
-    return docs, materialise(covers, "covers")
+    return docs, lasting(covers, "covers")
 
 
 def _dedup_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names[: len(cols)])
 
-    docs, covers = repeated(df, id_col, text_col, hot)
+    with passing(df.sparkSession):
+        docs, covers = repeated(df, id_col, text_col, hot)
     joined = docs.join(covers, "tk", "left").select("doc_id", "text", "covers")
     more = f", spans {_SPANS}, kept binary" if with_bytes else ""
     return joined.mapInArrow(apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
