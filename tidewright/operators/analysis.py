@@ -127,6 +127,15 @@ def nodes(scripts: DataFrame) -> DataFrame:
     return _per_script(scripts, script_nodes, _NODE_DDL, _NODE)
 
 
+def with_utf16(rows: DataFrame, scripts: DataFrame) -> DataFrame:
+    """rows, which have script_id, start and end in code points, with start_utf16 and end_utf16 in UTF-16 units: one more for each character
+    beyond U+FFFF before the place. A place behind the text's end (the root scope's) is moved by all of them."""
+    texts = scripts.select("script_id", F.coalesce("sql", F.lit("")).alias("__sql"))
+    beyond = lambda c: F.length(F.regexp_replace(F.substring("__sql", F.lit(1), F.least(F.col(c), F.lit(2**31 - 1)).cast("int")), r"[\x{0}-\x{FFFF}]", ""))
+    found = rows.join(texts, "script_id", "left")
+    return found.withColumns({f"{c}_utf16": F.col(c) + beyond(c) for c in ("start", "end")}).drop("__sql")
+
+
 def scopes(nodes: DataFrame) -> DataFrame:
     """(script_id, scope_id, parent_id, ancestor_ids, name, start, end, depth); the root has no parent and no end."""
     depth = F.size("path") - 1
