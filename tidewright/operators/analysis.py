@@ -141,7 +141,8 @@ def scopes(nodes: DataFrame) -> DataFrame:
     depth = F.size("path") - 1
     parent = F.when(depth > 0, F.element_at("path", F.greatest(depth, F.lit(1))))
     end = F.when(depth == 0, F.lit(ROOT_END)).otherwise(F.col("end").cast("long"))
-    return nodes.where("scope_name is not null").select("script_id", F.col("node_id").alias("scope_id"), parent.alias("parent_id"), F.col("path").alias("ancestor_ids"), F.col("scope_name").alias("name"), "start", end.alias("end"), depth.alias("depth"))
+    ids = ["script_id", F.col("node_id").alias("scope_id"), parent.alias("parent_id"), F.col("path").alias("ancestor_ids")]
+    return nodes.where("scope_name is not null").select(*ids, F.col("scope_name").alias("name"), "start", end.alias("end"), depth.alias("depth"))
 
 
 def declarations(nodes: DataFrame) -> DataFrame:
@@ -157,7 +158,8 @@ def declarations(nodes: DataFrame) -> DataFrame:
     )
     around = F.when(F.col("scope_name").isNull(), F.col("path")).otherwise(F.slice("path", 1, F.size("path") - 1))
     name = F.when(kind == "Alias", F.col("alias")).otherwise(F.col("name"))
-    found = nodes.select("script_id", F.col("node_id").alias("symbol_id"), "parent_id", "role", F.element_at(around, -1).alias("scope_id"), name.alias("name"), F.lower(name).alias("name_key"), kind.alias("kind"), "data_type", "columns", "start", "end")
+    ids = ["script_id", F.col("node_id").alias("symbol_id"), "parent_id", "role", F.element_at(around, -1).alias("scope_id")]
+    found = nodes.select(*ids, name.alias("name"), F.lower(name).alias("name_key"), kind.alias("kind"), "data_type", "columns", "start", "end")
     found = found.where("kind is not null and name is not null")
     # a joined table's alias has the span of the join
     joins = nodes.where("kind = 'Join'").select("script_id", F.col("node_id").alias("parent_id"), F.lit("target").alias("role"), F.col("start").alias("join_start"), F.col("end").alias("join_end"))
@@ -183,9 +185,9 @@ def refs(nodes: DataFrame) -> DataFrame:
     variable, assigns = F.col("kind") == "Variable", (F.col("kind") == "Column") & F.col("value").startswith("@")
     name = F.when(variable, F.col("name")).otherwise(F.col("value"))
     end = F.when(variable, F.col("end")).otherwise(F.col("start") + F.length("value"))
-    used = nodes.where((variable | assigns) & ~name.startswith("@@")).select(
-        "script_id", F.col("node_id").alias("ref_id"), F.lower(name).alias("name_key"), F.element_at("path", -1).alias("scope_id"), "path", "start", end.alias("end"), F.when(variable & (F.col("role") == "target"), "write").otherwise("read").alias("kind")
-    )
+    kind = F.when(variable & (F.col("role") == "target"), "write").otherwise("read").alias("kind")
+    ids = ["script_id", F.col("node_id").alias("ref_id"), F.lower(name).alias("name_key"), F.element_at("path", -1).alias("scope_id")]
+    used = nodes.where((variable | assigns) & ~name.startswith("@@")).select(*ids, "path", "start", end.alias("end"), kind)
     declared = symbols(nodes).select("script_id", "name_key", F.col("scope_id").alias("at"), "symbol_id")
     seen = used.join(declared, ["script_id", "name_key"]).where(F.array_contains("path", F.col("at")) & (F.col("symbol_id") < F.col("ref_id")))
     nearest = seen.groupBy("script_id", "ref_id").agg(F.max_by("symbol_id", "at").alias("symbol_id"))

@@ -235,7 +235,8 @@ class Session:
                 names = [plain(a.column.parts[-1]).lower() for a in s.body.assignments]
                 now = self.frames[through].select(F.col("__rid"), F.lit(True).alias("__hit"), *(F.col(n).alias(f"__{n}") for n in names))
                 both = marked.join(now, "__rid", "left")
-                result = both.select(*(F.when(F.col("__hit"), F.col(f"__{f.name.lower()}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name.lower() in names else F.col(f.name) for f in kept[base].schema))
+                new = {f.name: F.when(F.col("__hit"), F.col(f"__{f.name.lower()}").cast(f.dataType)).otherwise(F.col(f.name)) for f in kept[base].schema if f.name.lower() in names}
+                result = both.select(*(new.get(f.name, F.col(f.name)).alias(f.name) for f in kept[base].schema))
             rows = self.rows
         finally:
             for n in {base, *(plain(c.name).lower() for c in s.ctes)}:
@@ -330,8 +331,9 @@ class Session:
         be set where several match."""
         target = self.frames[name]
         held = {x.lower(): x for x in target.columns}
-        named = [n for part in [*(s.get("from") or []), s.get("where"), *values] if part is not None for n in part.walk() if n.kind == "Identifier" and len(n.get("parts") or []) < 3]
-        keys = sorted({held[plain(n.parts[-1]).lower()] for n in named if plain(n.parts[-1]).lower() in held and (len(n.parts) == 1 or plain(n.parts[-2]).lower() == alias)}) or target.columns[:1]
+        read = [part for part in [*(s.get("from") or []), s.get("where"), *values] if part is not None]
+        named = [[plain(x).lower() for x in n.parts[-2:]] for part in read for n in part.walk() if n.kind == "Identifier" and n.get("parts")]
+        keys = sorted({held[n[-1]] for n in named if n[-1] in held and (len(n) == 1 or n[0] == alias)}) or target.columns[:1]
         c, env = self._compiler(), []
         sources = ", ".join(c._source(t, env, []) for t in s.get("from"))
         if alias not in [a for a, _ in env] and name not in [a for a, _ in env]:
@@ -352,14 +354,19 @@ class Session:
         if s.get("from"):
             keys, hit = self._joined(s, name, alias, [a.value for a in s.assignments])
             both, before = self._met(name, keys, hit, "left"), self._met(name, keys, hit, "left_semi")
-            cols = [F.when(F.col("__hit").isNotNull(), F.col(f"__hit.v{names.index(f.name.lower())}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name.lower() in names else F.col(f.name) for f in target.schema]
+            value = lambda f: F.col(f"__hit.v{names.index(f.name.lower())}").cast(f.dataType)
+            new = {f.name: F.when(F.col("__hit").isNotNull(), value(f)).otherwise(F.col(f.name)) for f in target.schema if f.name.lower() in names}
+            cols = [new.get(f.name, F.col(f.name)).alias(f.name) for f in target.schema]
             return self._changed(name, both.select(*cols), before.count)
         env = [(alias, {c.lower(): t for c, t in target.dtypes})]
         c = self._compiler()
         where = f"coalesce({c.expr(s.where, env)}, false)" if s.get("where") else "true"
         cols = []
         for f in target.schema:
-            value = f"CAST(CASE WHEN {where} THEN {c.expr(s.assignments[names.index(f.name.lower())].value, env)} ELSE {quoted(f.name)} END AS {f.dataType.simpleString()})" if f.name.lower() in names else quoted(f.name)
+            value = quoted(f.name)
+            if f.name.lower() in names:
+                given = c.expr(s.assignments[names.index(f.name.lower())].value, env)
+                value = f"CAST(CASE WHEN {where} THEN {given} ELSE {value} END AS {f.dataType.simpleString()})"
             cols.append(f"{value} AS {quoted(f.name)}")
         self._changed(name, self._spark_sql(f"SELECT {', '.join(cols)} FROM {quoted(self._view(name))} AS {quoted(alias)}"), self._counted(name, alias, where))
 
