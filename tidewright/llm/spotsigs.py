@@ -105,27 +105,29 @@ def spotsigs_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def spotsigs_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Near duplicates at a Jaccard index of `threshold` or more: (class_a, class_b, likeness) between classes of equal fingerprints, and membership.
+    """Near duplicates at a Jaccard index of `threshold` or more: (class_a, class_b, likeness, key_a, key_b) between classes of equal fingerprints, and
+    membership (doc_id, class_id, key).
 
-    Sets are partitioned by length: a set of n signatures can only match sets of n*t to n/t, so lengths are cut into bands of ratio t and a set
-    meets its own band and the one above. Within a band only the rarest signatures, n - ceil(t*n) + 1 of them, are indexed: two matching
-    sets share one of these. Pairs that meet are compared in full once.
+    A class is known by its key, 96 bits of hashes of its set; class_id is its smallest id, null where all its ids are null. Texts that share an id
+    are in classes of their own. Sets are partitioned by length: a set of n signatures can only match sets of n*t to n/t, so lengths are cut
+    into bands of ratio t and a set meets its own band and the one above. Within a band only the rarest signatures, n - ceil(t*n) + 1 of them, are
+    indexed: two matching sets share one of these. Pairs that meet are compared in full once. Empty sets form one class without pairs.
     """
     docs = with_signatures(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "sigs")
-    docs = materialise(docs.select("doc_id", "sigs", F.xxhash64("sigs").alias("h1"), F.hash("sigs").alias("h2")), "spots")
-    classes = materialise(docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "spot-classes")
-    members = docs.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "class_id")
-    spots = classes.select("class_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    rare = spots.join(spots.groupBy("sig").agg(F.count("*").alias("df")), "sig")
-    order = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))
-    rare = rare.withColumn("rank", order).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    key = F.concat(F.lpad(F.hex(F.xxhash64("sigs")), 16, "0"), F.lpad(F.hex(F.hash("sigs")), 8, "0"))
+    docs = materialise(docs.select("doc_id", "sigs", key.alias("key")), "spots")
+    classes = materialise(docs.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "spot-classes")
+    members = docs.join(classes.select("key", "class_id"), "key").select("doc_id", "class_id", "key")
+    spots = classes.select("key", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    counts = materialise(spots.groupBy("sig").agg(F.count("*").alias("df")), "spot-counts")
+    order = F.row_number().over(Window.partitionBy("key").orderBy("df", "sig"))
+    rare = spots.join(counts, "sig").withColumn("rank", order).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
     band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold))).cast("int")
-    rare = materialise(rare.select("class_id", "n", "sig", band.alias("band")), "spot-index")
-    up = rare.select(F.col("class_id").alias("class_a"), F.col("n").alias("na"), "sig", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    down = rare.select(F.col("class_id").alias("class_b"), F.col("n").alias("nb"), "sig", "band")
-    met = up.join(down, ["sig", "band"]).where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("class_a") < F.col("class_b"))).where(F.col("na") >= F.lit(threshold) * F.col("nb"))
-    met = met.select("class_a", "class_b").distinct()
-    a = classes.select(F.col("class_id").alias("class_a"), F.col("sigs").alias("sa"))
-    b = classes.select(F.col("class_id").alias("class_b"), F.col("sigs").alias("sb"))
-    pairs = met.join(a, "class_a").join(b, "class_b").withColumn("likeness", jaccard("sa", "sb")).where(F.col("likeness") >= threshold)
-    return pairs.select("class_a", "class_b", "likeness"), members
+    rare = materialise(rare.where("df > 1").select("key", "n", "sig", band.alias("band")), "spot-index")
+    up = rare.select(F.col("key").alias("key_a"), F.col("n").alias("na"), "sig", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    down = rare.select(F.col("key").alias("key_b"), F.col("n").alias("nb"), "sig", "band")
+    ordered = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("key_a") < F.col("key_b"))
+    met = up.join(down, ["sig", "band"]).where(ordered & (F.col("na") >= F.lit(threshold) * F.col("nb"))).select("key_a", "key_b").distinct()
+    side = lambda x: classes.select(F.col("key").alias(f"key_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("sigs").alias(f"s{x}"))
+    pairs = met.join(side("a"), "key_a").join(side("b"), "key_b").withColumn("likeness", jaccard("sa", "sb")).where(F.col("likeness") >= threshold)
+    return pairs.select("class_a", "class_b", "likeness", "key_a", "key_b"), members
