@@ -50,3 +50,42 @@ def test_pairs_just_above_and_below_the_threshold_in_a_cluster(spark):
     assert len(check(spark, texts)) > 20
     near = {frozenset((a, b)) for a, b in combinations(texts, 2) if 0.6 <= len(shingles(texts[a]) & shingles(texts[b])) / max(1, len(shingles(texts[a]) | shingles(texts[b]))) < 0.8}
     assert near
+
+
+def test_recall_just_above_the_threshold_and_no_false_link(spark):
+    """Pairs of likeness 0.8 to 0.85 and just under 0.8, of 30 to 400 words, with scattered and with whole-block edits; a link may be lost by chance only."""
+    rng, docs, near, far = random.Random(8), [], [], []
+    words = [f"w{k}" for k in range(20_000)]
+    while len(near) < 400 or len(far) < 200:
+        first = rng.choices(words, k=rng.randint(30, 400))
+        text = list(first)
+        if rng.random() < 0.5:
+            for _ in range(rng.randint(1, max(1, len(first) // 35))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+        else:
+            text = text[: -max(1, round(len(text) * rng.uniform(0.1, 0.22)))]
+        a, b = shingles(" ".join(first)), shingles(" ".join(text))
+        j = len(a & b) / len(a | b)
+        if 0.8 <= j < 0.85 and len(near) < 400 or 0.7 <= j < 0.8 and len(far) < 200:
+            (near if j >= 0.8 else far).append((len(docs), len(docs) + 1))
+            docs += [(len(docs), " ".join(first)), (len(docs) + 1, " ".join(text))]
+    found = dict(tuple(r) for r in simhash.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert sum(found[a] == found[b] for a, b in near) >= 0.97 * len(near)
+    assert not any(found[a] == found[b] for a, b in far) and len(found) == len(docs)
+
+
+def test_a_large_cluster_and_a_template(spark):
+    """Hundreds of near copies become one; texts that share a template but not four fifths of their shingles stay apart."""
+    rng = random.Random(4)
+    words = [f"v{k}" for k in range(5000)]
+    base, frame = rng.choices(words, k=200), rng.choices(words, k=60)
+    docs = []
+    for k in range(300):
+        text = list(base)
+        text[rng.randrange(200)] = rng.choice(words)
+        docs.append((k, " ".join(text)))
+    for k in range(300):
+        docs.append((1000 + k, " ".join(frame + rng.choices(words, k=25))))
+    found = dict(tuple(r) for r in simhash.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert {found[k] for k in range(300)} == {0}
+    assert all(found[1000 + k] == 1000 + k for k in range(300))

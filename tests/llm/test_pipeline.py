@@ -9,7 +9,8 @@ import pytest
 from tidewright.llm import queries
 from tidewright.llm.common import read_table
 
-from .test_brute_force import DATA, SPACE, classes, slow_fingerprint
+from .test_brute_force import DATA, SPACE, classes
+from .test_near_copies import like, shingles
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +37,8 @@ def test_one_of_each_group_of_copies_stays(kept):
 
 
 def test_one_of_each_group_of_near_copies_stays(kept):
-    fp = {d: slow_fingerprint(t, 5) for d, t in kept[2].items()}
-    comp = classes(fp, [(a, b) for a, b in combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= 4])
+    held = {d: shingles(t) for d, t in kept[2].items()}
+    comp = classes(held, [(a, b) for a, b in combinations(held, 2) if like(held[a], held[b])])
     assert set(kept[3]) == set(comp.values())
 
 

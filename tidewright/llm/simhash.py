@@ -15,6 +15,7 @@ same scheme over a fingerprint of 256 bits and then compares the sets.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -22,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, lasting, materialise, passing
@@ -35,10 +36,12 @@ WIDE = 4
 SEGMENT = 18
 PER_WORD = 3
 TABLES = WIDE * PER_WORD
-OTHER_RADIUS = 16
+NEXT_RADIUS = 32
 WIDE_RADIUS, SMALL_SET, SMALL_RADIUS = 60, 32, 72
-SHORT = 16
+SHORT = 64
 PART_ENTRIES = 500_000
+COUNT_SHIFT = np.uint64(44)
+COUNT_PART = 1 << 14
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -222,7 +225,7 @@ def _read(words: int):
     return read
 
 
-_ENTRY = np.dtype([("slot", "<u4"), ("key", "<i8"), ("other", "<u8")])
+_ENTRY = np.dtype([("slot", "<u4"), ("key", "<i8"), ("other", "<u8"), ("third", "<u8")])
 
 
 def _tables(parts: int):
@@ -237,70 +240,55 @@ def _tables(parts: int):
                 for t in range(TABLES):
                     word, low = divmod(t, PER_WORD)
                     at = (wide[word] >> np.uint64(low * SEGMENT) & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)
-                    other = wide[(word + 1) % WIDE]
                     for mask in [0, *(1 << i for i in range(SEGMENT))]:
                         held = at & np.uint32(mask) == 0  # the segment itself, and its small ball where a zero bit is set
                         entry = np.empty(int(held.sum()), _ENTRY)
-                        entry["slot"], entry["key"], entry["other"] = np.uint32(t << SEGMENT | mask) | at[held], key[held], other[held]
+                        entry["slot"], entry["key"] = np.uint32(t << SEGMENT | mask) | at[held], key[held]
+                        entry["other"], entry["third"] = wide[(word + 1) % WIDE][held], wide[(word + 2) % WIDE][held]
                         out.append(entry)
                 entries = np.concatenate(out)
                 part = (entries["slot"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
                 order = np.argsort(part, kind="stable")
                 entries, part = entries[order], part[order]
                 edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), pa.array([entries[a:e].tobytes() for a, e in zip(edge[:-1], edge[1:])], pa.binary())], ["part", "entries"])
+                blocks = [entries[a:e].tobytes() for a, e in zip(edge[:-1], edge[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "entries"])
 
     return deal
 
 
-def _reach(other: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """The components of two rows or more among `rows` of a crowded slot, by the distance of their other words; the first row of each leads."""
-    found, whole = [], True
-    while len(rows) > 1:
-        todo, left, got, step = rows[:1], rows[1:], [rows[:1]], max(1, (1 << 22) // len(rows))
-        while len(todo) and len(left):
-            near = np.zeros(len(left), bool)
-            for k in range(0, len(todo), step):
-                near |= (np.bitwise_count(other[todo[k : k + step], None] ^ other[None, left]) <= OTHER_RADIUS).any(axis=0)
-            todo, left = left[near], left[~near]
-            got.append(todo)
-        group = np.concatenate(got)
-        if len(group) > 1:
-            found.append(group)
-        elif whole:  # no large group leads: from here on only rows that have a neighbour at all are worth a search
-            whole, busy = False, np.zeros(len(left), bool)
-            for k in range(0, len(left), step):
-                busy[k : k + step] = (np.bitwise_count(other[left[k : k + step], None] ^ other[None, left]) <= OTHER_RADIUS).sum(axis=1) > 1
-            left = left[busy]
-        rows = left
-    return found
+def _met(slot: np.ndarray, other: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by slot, have another in their slot whose two next words are near."""
+    edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
+    size = np.diff(edge)
+    hit = np.zeros(len(slot), bool)
+    few = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
+    run, x, y = np.repeat(np.arange(len(size)), size)[few], other[few], third[few]
+    for gap in range(1, int(size[(size > 1) & (size <= SHORT)].max(initial=1))):
+        at = np.flatnonzero((run[gap:] == run[:-gap]) & (np.bitwise_count(x[gap:] ^ x[:-gap]) + np.bitwise_count(y[gap:] ^ y[:-gap]) <= NEXT_RADIUS))
+        hit[few[at]] = hit[few[at + gap]] = True
+    for k in np.flatnonzero(size > SHORT):
+        a, e = edge[k], edge[k + 1]
+        left, step = np.arange(a, e), 1
+        while len(left):  # what a row meets need not be asked again, so a large group is done after a few rows
+            ask, left = left[:step], left[step:]
+            near = np.bitwise_count(other[ask, None] ^ other[None, a:e]) + np.bitwise_count(third[ask, None] ^ third[None, a:e]) <= NEXT_RADIUS
+            near[np.arange(len(ask)), ask - a] = False
+            hit[ask] |= near.any(axis=1)
+            hit[a:e] |= near.any(axis=0)
+            left = left[~hit[left]]
+            step = min(2 * step, max(1, (1 << 21) // int(e - a)))
+    return hit
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From blocks sorted by part: the pairs (u, v) whose entries meet in a slot and whose other words are near.
-
-    Runs of at most SHORT entries give all such pairs, with slot -1. Longer ones give, under their slot, the links of each one's star: v is reached from u.
-    """
+    """From blocks sorted by part: the keys of entries that meet another one."""
 
     def meet(blocks: list[bytes]) -> pa.RecordBatch:
         e = np.frombuffer(b"".join(blocks), _ENTRY)
         e = e[np.argsort(e["slot"], kind="stable")]
-        slot, key, other = (np.ascontiguousarray(e[x]) for x in ("slot", "key", "other"))
-        edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-        size = np.diff(edge)
-        pairs, stars = [np.empty((2, 0), np.int64)], [np.empty((3, 0), np.int64)]
-        few = np.repeat((size > 1) & (size <= SHORT), size)
-        run, f, name = np.repeat(np.arange(len(size)), size)[few], other[few], key[few]
-        for gap in range(1, int(size[(size > 1) & (size <= SHORT)].max(initial=1))):
-            at = np.flatnonzero((run[gap:] == run[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= OTHER_RADIUS))
-            pairs.append(np.stack((name[at], name[at + gap])))
-        for k in np.flatnonzero(size > SHORT):
-            rows = np.arange(edge[k], edge[k + 1])
-            for found in _reach(other, rows[np.argsort(key[rows])]):
-                stars.append(np.stack((np.full(len(found) - 1, slot[found[0]], np.int64), np.full(len(found) - 1, key[found[0]]), key[found[1:]])))
-        pairs, stars = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1), np.concatenate(stars, axis=1)
-        columns = [np.concatenate((np.full(pairs.shape[1], -1), stars[0])), np.concatenate((pairs[0], stars[1])), np.concatenate((pairs[1], stars[2]))]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["slot", "u", "v"])
+        hit = _met(*(np.ascontiguousarray(e[x]) for x in ("slot", "other", "third")))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(e["key"][hit]))], ["key"])
 
     held, last = [], None
     for b in batches:
@@ -314,37 +302,60 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield meet(held)
 
 
-def _shingles(words: int):
-    """(key, comp, n, sh): every shingle of the sets of rows (key, comp, packed)."""
+def _counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many sets (key, packed) hold a shingle of each of 2^20 ranges of hashes: 8 MB, however large the table is. It only gives an order."""
+    size = 1 << 64 - int(COUNT_SHIFT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                np.add.at(total, _unpack(x, words) >> COUNT_SHIFT, 1)
+        parts = total.reshape(-1, COUNT_PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+
+    schema = "part long, counts binary"
+    held = {r.part: r.counts for r in texts.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()}
+    return np.concatenate([np.frombuffer(held.get(k, bytes(8 * COUNT_PART)), np.int64) for k in range(size // COUNT_PART)])
+
+
+def _rare(texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(key, n, sh, place): of each set (key, packed) the n - ceil(threshold * n) + 1 shingles that come first in the order of counts. Two sets that reach
+    the threshold share one of them, whatever the counts are."""
+    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, words))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                held = [_unpack(x, words) for x in b.column(2).to_pylist()]
-                n = np.array([len(x) for x in held])
-                columns = [np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n), np.repeat(n, n), np.concatenate(held).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "comp", "n", "sh"])
-
-    return spread
-
-
-def _apart(members: DataFrame, sets: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Pairs (u, v) of members (key, comp) of different components that may reach the threshold: they share one of the n - ceil(threshold * n) + 1
-    shingles of a set that fewest members hold, as any two sets that reach it must. So members that only share what all of them share never meet."""
-    texts = sets.select("key", "packed").join(members, "key").groupBy("key", "comp").agg(F.first("packed").alias("packed"))
-    spots = materialise(texts.mapInArrow(_shingles(words), "key long, comp long, n long, sh long"), "member-shingles")
-    holders = materialise(spots.groupBy("sh").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("holders", F.lit(1)), "sh"))
-    rare = spots.join(holders, "sh", "left").withColumn("place", place)
-    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & F.col("holders").isNotNull())
-    rare = materialise(rare.select("key", "comp", "n", "sh"), "rare-shingles")
-    side = lambda x: rare.select(F.col("key").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), "sh")
+            for k in range(0, whole.num_rows, 512):
+                b, keys, sizes, found, places = whole.slice(k, 512), [], [], [], []
+                for key, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    x = _unpack(packed, words)
+                    m = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1 if len(x) else 0
+                    keys.append(np.full(m, key, np.int64))
+                    sizes.append(np.full(m, len(x)))
+                    found.append(x[np.lexsort((x, counts.value[x >> COUNT_SHIFT]))[:m]])
+                    places.append(np.arange(m))
+                columns = [np.concatenate(keys), np.concatenate(sizes), np.concatenate(found).view(np.int64), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "sh", "place"])
+
+    return texts.mapInArrow(first, "key long, n long, sh long, place long")
+
+
+def _can_reach(threshold: float) -> Column:
+    """Whether sets of nu and nv shingles whose first common one stands at place_u and place_v can reach the threshold: by their sizes, and by what is left."""
+    left = 1 + F.least(F.col("nu") - 1 - F.col("place_u"), F.col("nv") - 1 - F.col("place_v"))
     sized = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9
-    return side("u").join(side("v"), "sh").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sized).select("u", "v").distinct()
+    return sized & (left >= F.lit(threshold / (1 + threshold)) * (F.col("nu") + F.col("nv")) - 1e-9)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, threshold: float, name: str) -> DataFrame:
     """The pairs (u, v) whose complete fingerprints are near and whose sets have a Jaccard index of `threshold` or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +380,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, words: int,
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    held = materialise(sets.select("key", "packed").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed")), f"{name}-texts")
+    held = materialise(texts.join(wanted, "key", "left_semi"), f"{name}-texts")
     a, b = held.select(F.col("key").alias("u"), F.col("packed").alias("tu")), held.select(F.col("key").alias("v"), F.col("packed").alias("tv"))
     return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), f"{name}-links")
 
@@ -383,21 +394,27 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
     classes = materialise(classes, "shingle-classes")
     parts = max(n, classes.count() * TABLES * (SEGMENT // 2 + 1) // PART_ENTRIES)
     blocks = classes.select("key", *_PRINT).mapInArrow(_tables(parts), "part int, entries binary").repartition(n, "part").sortWithinPartitions("part")
-    met = materialise(blocks.mapInArrow(_fetch, "slot long, u long, v long"), "near-met")
-    links = _verified(met, classes, sets, words, threshold, "near")
-
-    # members of a star whose links did not all hold: what is still apart is compared
+    members = materialise(blocks.mapInArrow(_fetch, "key long").distinct(), "near-members")
+    texts = sets.select("key", "packed").join(members, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed"))
+    texts = materialise(texts, "member-texts")
+    rare = materialise(_rare(texts, words, threshold), "rare-shingles")
+
+    # each with the first of those that hold a shingle
+    first = materialise(rare.groupBy("sh").agg(F.min(F.struct("key", "n", "place")).alias("u"), F.count("*").alias("holders")).where("holders > 1").select("sh", "u.*"), "first-holders")
+    first = first.select("sh", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("place").alias("place_u"))
+    v = rare.select("sh", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("place").alias("place_v"))
+    links = _verified(v.join(first, "sh").where(F.col("u") != F.col("v")).where(_can_reach(threshold)), classes, texts, words, threshold, "near")
     comps = connected_components(links).withColumnRenamed("node", "key")
-    stars = materialise(met.where("slot >= 0").select("u", "v").distinct(), "near-stars")
-    comp = lambda x: comps.select(F.col("key").alias(x), F.col("comp").alias(f"c{x}"))
-    stars = stars.join(comp("u"), "u", "left").join(comp("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
-    stars = materialise(stars, "near-star-comps")
-    stars = stars.join(stars.where("cu <> cv").select("u").distinct(), "u", "left_semi")
-    members = stars.select(F.col("u").alias("key"), F.col("cu").alias("comp")).unionByName(stars.select(F.col("v").alias("key"), F.col("cv").alias("comp")))
-    members = materialise(members.distinct(), "near-members")
-    rest = materialise(_apart(members, sets, words, threshold), "near-rest")
-    if not rest.isEmpty():
-        comps = connected_components(links.unionByName(_verified(rest, classes, sets, words, threshold, "rest"))).withColumnRenamed("node", "key")
+
+    # those that this did not join, where a shingle's holders are still apart
+    placed = materialise(rare.join(comps, "key", "left").select("key", "n", "sh", "place", F.coalesce("comp", "key").alias("comp")), "placed-shingles")
+    apart = materialise(placed.groupBy("sh").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sh"), "apart")
+    placed = materialise(placed.join(apart, "sh", "left_semi"), "apart-shingles")
+    side = lambda x: placed.select("sh", *(F.col(c).alias(to) for c, to in (("key", x), ("n", f"n{x}"), ("place", f"place_{x}"), ("comp", f"c{x}"))))
+    rest = side("u").join(side("v"), "sh").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).where(_can_reach(threshold))
+    more = _verified(rest, classes, texts, words, threshold, "rest")
+    if not more.isEmpty():
+        comps = connected_components(links.unionByName(more)).withColumnRenamed("node", "key")
     return sets.select("doc_id", "key"), materialise(classes.join(comps, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp")), "near-placed")
 
 
@@ -405,12 +422,11 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, component_id) of every row, under links of texts whose sets of shingles have a Jaccard index of `threshold` or more.
 
     Equal sets are one class. Each class has a SimHash of 64 * WIDE bits, PER_WORD segments of SEGMENT bits a word, and a table a segment; it is put under the
-    segment and under the small ball of values with one zero bit set. Two classes that share a table value and whose next words are near are compared by their
-    complete fingerprints and then by the sets themselves, so no link is false. Links are lost by chance only, at every size of the table alike: at 0.8 some
-    15 bits of 100 differ, and two such texts meet in none of the 12 tables 6 times in 1000. Where many share a value a star of them is compared; only
-    members of a star that its links did not join are compared further, and of these only those that share rare shingles, so neither a cluster
-    of near copies nor one of texts that are not quite near costs all its pairs. A text without words
-    is only like others without words.
+    segment and under the small ball of values with one zero bit set. Classes that share a table value and whose next two words are near are candidates.
+    Links are lost by chance only, at every size of the table alike: at 0.8 some 15 bits of 100 differ, and two such texts meet in none of the 12
+    tables 6 times in 1000. Candidates are paired where they share one of their rare shingles and can still reach the threshold, first with one
+    holder of the shingle, then with those that this left in other components, so a cluster of near copies costs no pairs; pairs are compared by their
+    complete fingerprints and then by the sets themselves, so no link is false. A text without words is only like others without words.
     """
     with passing(df.sparkSession):
         sets, placed = _near_classes(df, id_col, text_col, words, threshold)
