@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import exact_dedup, mixing, packing, simhash, toxicity
-from tidewright.llm.common import materialise, read_table
+from tidewright.llm.common import read_table, remove, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table is written in the shared folder, and removed when the next one has been."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{k}")
+            path, schema = scratch(spark, f"stage-{k}"), docs.schema
+            docs.write.parquet(path)
+            docs = spark.read.schema(schema).parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
