@@ -15,7 +15,6 @@ same scheme over a fingerprint of 256 bits and then compares the sets.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,7 +22,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, lasting, materialise, passing
@@ -40,8 +39,6 @@ NEXT_RADIUS = 32
 WIDE_RADIUS, SMALL_SET, SMALL_RADIUS = 60, 32, 72
 SHORT = 64
 PART_ENTRIES = 500_000
-COUNT_SHIFT = np.uint64(44)
-COUNT_PART = 1 << 14
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -302,50 +299,32 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield meet(held)
 
 
-def _counts(texts: DataFrame, words: int) -> np.ndarray:
-    """How many sets (key, packed) hold a shingle of each of 2^20 ranges of hashes: 8 MB, however large the table is. It only gives an order."""
-    size = 1 << 64 - int(COUNT_SHIFT)
+def _shingles(words: int):
+    """(key, n, sh): every shingle of the sets of rows (key, packed)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(1).to_pylist():
-                np.add.at(total, _unpack(x, words) >> COUNT_SHIFT, 1)
-        parts = total.reshape(-1, COUNT_PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                held = [_unpack(x, words) for x in b.column(1).to_pylist()]
+                n = np.array([len(x) for x in held])
+                columns = [np.repeat(b.column(0).to_numpy(), n), np.repeat(n, n), np.concatenate(held).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "sh"])
 
-    schema = "part long, counts binary"
-    held = {r.part: r.counts for r in texts.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()}
-    return np.concatenate([np.frombuffer(held.get(k, bytes(8 * COUNT_PART)), np.int64) for k in range(size // COUNT_PART)])
+    return spread
 
 
 def _rare(texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(key, n, sh, place): of each set (key, packed) the n - ceil(threshold * n) + 1 shingles that come first in the order of counts. Two sets that reach
-    the threshold share one of them, whatever the counts are."""
-    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, words))
+    """(key, n, sh, place): of each set's n - ceil(threshold * n) + 1 shingles that fewest sets hold, those that more than one holds; place is the rank of all.
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b, keys, sizes, found, places = whole.slice(k, 512), [], [], [], []
-                for key, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = _unpack(packed, words)
-                    m = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1 if len(x) else 0
-                    keys.append(np.full(m, key, np.int64))
-                    sizes.append(np.full(m, len(x)))
-                    found.append(x[np.lexsort((x, counts.value[x >> COUNT_SHIFT]))[:m]])
-                    places.append(np.arange(m))
-                columns = [np.concatenate(keys), np.concatenate(sizes), np.concatenate(found).view(np.int64), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "sh", "place"])
-
-    return texts.mapInArrow(first, "key long, n long, sh long, place long")
+    Two sets that reach the threshold share one of them. Texts that share no more than what many share, and have a fifth of their own, give nothing.
+    """
+    spots = materialise(texts.mapInArrow(_shingles(words), "key long, n long, sh long"), "member-shingles")
+    holders = materialise(spots.groupBy("sh").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    own = Window.partitionBy("key")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "sh")) - 1  # what only one set holds comes first
+    rare = spots.join(holders, "sh").withColumn("place", place)
+    return rare.where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("key", "n", "sh", "place")
 
 
 def _can_reach(threshold: float) -> Column:
