@@ -38,6 +38,7 @@ TABLES = WIDE * PER_WORD
 NEXT_RADIUS = 32
 WIDE_RADIUS, SMALL_SET, SMALL_RADIUS = 60, 32, 72
 SHORT = 64
+ROUNDS = 3
 PART_ENTRIES = 500_000
 
 
@@ -378,18 +379,24 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
     texts = materialise(texts, "member-texts")
     rare = materialise(_rare(texts, words, threshold), "rare-shingles")
 
-    # each with the first of those that hold a shingle
-    first = materialise(rare.groupBy("sh").agg(F.min(F.struct("key", "n", "place")).alias("u"), F.count("*").alias("holders")).where("holders > 1").select("sh", "u.*"), "first-holders")
-    first = first.select("sh", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("place").alias("place_u"))
-    v = rare.select("sh", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("place").alias("place_v"))
-    links = _verified(v.join(first, "sh").where(F.col("u") != F.col("v")).where(_can_reach(threshold)), classes, texts, words, threshold, "near")
-    comps = connected_components(links).withColumnRenamed("node", "key")
-
-    # those that this did not join, where a shingle's holders are still apart
-    placed = materialise(rare.join(comps, "key", "left").select("key", "n", "sh", "place", F.coalesce("comp", "key").alias("comp")), "placed-shingles")
-    apart = materialise(placed.groupBy("sh").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sh"), "apart")
-    placed = materialise(placed.join(apart, "sh", "left_semi"), "apart-shingles")
-    side = lambda x: placed.select("sh", *(F.col(c).alias(to) for c, to in (("key", x), ("n", f"n{x}"), ("place", f"place_{x}"), ("comp", f"c{x}"))))
+    # each with one of those that hold a shingle, another one in each round
+    links, comps, turn = classes.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0), classes.select("key", F.col("key").alias("comp")).limit(0), 0
+    while True:
+        placed = materialise(rare.join(comps, "key", "left").select("key", "n", "sh", "place", F.coalesce("comp", "key").alias("comp")), "placed-shingles")
+        apart = materialise(placed.groupBy("sh").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sh"), "apart")
+        placed = materialise(placed.join(apart, "sh", "left_semi"), "apart-shingles")
+        side = lambda x: placed.select("sh", *(F.col(c).alias(to) for c, to in (("key", x), ("n", f"n{x}"), ("place", f"place_{x}"), ("comp", f"c{x}"))))
+        if turn == ROUNDS:
+            break
+        drawn = F.min_by(F.struct("u", "nu", "place_u", "cu"), F.xxhash64(F.lit(turn), "u")).alias("at")
+        roots = materialise(side("u").groupBy("sh").agg(drawn).select("sh", "at.*"), "roots")
+        found = _verified(side("v").join(roots, "sh").where(F.col("cu") != F.col("cv")).where(_can_reach(threshold)), classes, texts, words, threshold, "near")
+        if found.isEmpty():
+            break
+        links, turn = links.unionByName(found), turn + 1
+        comps = materialise(connected_components(links).withColumnRenamed("node", "key"), "near-comps")
+
+    # every pair of those that are still apart
     rest = side("u").join(side("v"), "sh").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).where(_can_reach(threshold))
     more = _verified(rest, classes, texts, words, threshold, "rest")
     if not more.isEmpty():
@@ -403,9 +410,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one class. Each class has a SimHash of 64 * WIDE bits, PER_WORD segments of SEGMENT bits a word, and a table a segment; it is put under the
     segment and under the small ball of values with one zero bit set. Classes that share a table value and whose next two words are near are candidates.
     Links are lost by chance only, at every size of the table alike: at 0.8 some 15 bits of 100 differ, and two such texts meet in none of the 12
-    tables 6 times in 1000. Candidates are paired where they share one of their rare shingles and can still reach the threshold, first with one
-    holder of the shingle, then with those that this left in other components, so a cluster of near copies costs no pairs; pairs are compared by their
-    complete fingerprints and then by the sets themselves, so no link is false. A text without words is only like others without words.
+    tables 6 times in 1000. Candidates are paired where they share one of their rare shingles and can still reach the threshold: in rounds with one
+    holder of the shingle from another component, ROUNDS of them at most, then all that are still apart; so a cluster of near copies does not
+    cost all its pairs. Pairs are compared by their complete fingerprints and then by the sets themselves, so no link is false. A text without words is only like others without words.
     """
     with passing(df.sparkSession):
         sets, placed = _near_classes(df, id_col, text_col, words, threshold)
