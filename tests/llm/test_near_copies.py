@@ -89,3 +89,41 @@ def test_a_large_cluster_and_a_template(spark):
     found = dict(tuple(r) for r in simhash.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert {found[k] for k in range(300)} == {0}
     assert all(found[1000 + k] == 1000 + k for k in range(300))
+
+
+def test_a_cluster_on_both_sides_of_the_threshold_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Copies with one or three words changed: some are linked, most are not, all share shingles. Classes, against all pairs, in several units."""
+    rng, texts = random.Random(6), {}
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=120)
+    for k in range(200):
+        text = list(base)
+        for at in rng.sample(range(120), 1 if k % 10 == 0 else 3):
+            text[at] = rng.choice(words)
+        texts[k] = " ".join(text)
+    pairs, named, verified, fetch = [], spark.sparkContext.accumulator(0), simhash._verified, simhash._fetch
+
+    def counted(found, *more):
+        pairs.append(found.count())
+        return verified(found, *more)
+
+    def tallied(batches):
+        for b in fetch(batches):
+            named.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    monkeypatch.setattr(simhash, "_fetch", tallied)
+    monkeypatch.setattr(simhash, "UNIT_TEXTS", 60, raising=False)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = dict(tuple(r) for r in simhash.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    held = {d: shingles(t) for d, t in texts.items()}
+    links = [(a, b) for a, b in combinations(held, 2) if like(held[a], held[b])]
+    assert found == classes(held, links)
+    assert 10 < len(set(found.values())) and 100 < len(links) < 200 * 199 // 4
+    assert pairs[-1] < 5 * 200  # of those left after the rounds
+    assert 0 < named.value <= 20 * 200

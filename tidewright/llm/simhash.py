@@ -40,6 +40,9 @@ WIDE_RADIUS, SMALL_SET, SMALL_RADIUS = 60, 32, 72
 SHORT = 64
 ROUNDS = 3
 PART_ENTRIES = 500_000
+PAIRED = 32
+UNIT_TEXTS, UNIT_SHINGLES = 512, 2_000_000
+KNOWN = np.uint32(1 << 31)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -226,26 +229,26 @@ def _read(words: int):
 _ENTRY = np.dtype([("slot", "<u4"), ("key", "<i8"), ("other", "<u8"), ("third", "<u8")])
 
 
-def _tables(parts: int):
-    """From classes (key, w0..) the entries of all segment tables, as one block of bytes for each of `parts` ranges of mixed slots."""
+def _tables(parts: int, tables: range):
+    """From classes (key, known, w0..) the entries of these segment tables, as one block of bytes for each of `parts` ranges of mixed slots."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 4096):
                 b = whole.slice(k, 4096)
-                key, wide = b.column(0).to_numpy(), np.stack([c.to_numpy() for c in b.columns[1:]]).view(np.uint64)
-                out = []
-                for t in range(TABLES):
+                key, wide = b.column(0).to_numpy(), np.stack([c.to_numpy() for c in b.columns[2:]]).view(np.uint64)
+                known, out = b.column(1).to_numpy(zero_copy_only=False), []
+                for t in tables:
                     word, low = divmod(t, PER_WORD)
                     at = (wide[word] >> np.uint64(low * SEGMENT) & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)
                     for mask in [0, *(1 << i for i in range(SEGMENT))]:
                         held = at & np.uint32(mask) == 0  # the segment itself, and its small ball where a zero bit is set
                         entry = np.empty(int(held.sum()), _ENTRY)
-                        entry["slot"], entry["key"] = np.uint32(t << SEGMENT | mask) | at[held], key[held]
+                        entry["slot"], entry["key"] = np.uint32(t << SEGMENT | mask) | at[held] | np.where(known[held], KNOWN, np.uint32(0)), key[held]
                         entry["other"], entry["third"] = wide[(word + 1) % WIDE][held], wide[(word + 2) % WIDE][held]
                         out.append(entry)
                 entries = np.concatenate(out)
-                part = (entries["slot"] * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
+                part = ((entries["slot"] & ~KNOWN) * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
                 order = np.argsort(part, kind="stable")
                 entries, part = entries[order], part[order]
                 edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
@@ -280,12 +283,14 @@ def _met(slot: np.ndarray, other: np.ndarray, third: np.ndarray) -> np.ndarray:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From blocks sorted by part: the keys of entries that meet another one."""
+    """From blocks sorted by part: the keys of entries that meet another one and are not yet known to."""
 
     def meet(blocks: list[bytes]) -> pa.RecordBatch:
         e = np.frombuffer(b"".join(blocks), _ENTRY)
-        e = e[np.argsort(e["slot"], kind="stable")]
-        hit = _met(*(np.ascontiguousarray(e[x]) for x in ("slot", "other", "third")))
+        slot = e["slot"] & ~KNOWN
+        order = np.argsort(slot, kind="stable")
+        e = e[order]
+        hit = _met(slot[order], *(np.ascontiguousarray(e[x]) for x in ("other", "third"))) & (e["slot"] < KNOWN)
         return pa.RecordBatch.from_arrays([pa.array(np.unique(e["key"][hit]))], ["key"])
 
     held, last = [], None
@@ -365,6 +370,75 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     return materialise(pairs.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), f"{name}-links")
 
 
+def _united(keys: np.ndarray, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (u, v) between sets of different components, and of different sides if there are two, that unite all that such pairs unite."""
+    m, n = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), n)
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[at] > 1
+    number = (np.cumsum(held > 1) - 1)[at[shared]]
+    owner, order = owner[shared], np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    both = np.zeros((m, m))
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, e = np.searchsorted(number, (k, k + 4096))
+        has = np.zeros((m, 4096), np.float32)
+        has[owner[a:e], number[a:e] - k] = 1
+        both += has @ has.T
+    near = both / (n[:, None] + n[None, :] - both) >= threshold
+    if side.min() != side.max():
+        near &= side[:, None] != side[None, :]
+    comps, links = np.unique(comps, return_inverse=True)[1], []
+    for u in range(m):
+        met = np.flatnonzero(near[u] & (comps != comps[u]))
+        others, first = np.unique(comps[met], return_index=True)
+        if len(met):
+            links += [(int(keys[u]), int(keys[v])) for v in met[first]]
+            comps[np.isin(comps, others)] = comps[u]
+    return links
+
+
+def _units(words: int, threshold: float):
+    """(u, v): _united of each unit, from rows (grp, a, b, block, key, comp, packed) sorted by unit."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            block, key, comp = (np.array(x) for x in list(zip(*held))[:3])
+            found = _united(key, comp, block, [x[3] for x in held], threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        held, last = [], None
+        for b in batches:
+            for *unit, block, key, comp, packed in zip(*(c.to_pylist() for c in b.columns)):
+                if unit != last and held:
+                    yield links()
+                    held = []
+                held.append((block, key, comp, _unpack(packed, words)))
+                last = unit
+        if held:
+            yield links()
+
+    return compare
+
+
+def _crowd_links(crowd: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(u, v): links that unite what pairs of rows (key, n, sh, comp) that reach the threshold and share a shingle unite.
+
+    Texts that shingles connect are a group. A group is cut into blocks by the key's hash; each two blocks, and each block, are a unit, compared in one
+    task by their sets, all of them. So rows grow with a group's texts times its blocks, not its pairs.
+    """
+    n = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = materialise(crowd.groupBy("sh").agg(F.min("key").alias("root")), "crowd-roots")
+    groups = connected_components(crowd.join(roots, "sh").select("key", "root").distinct(), "key", "root").select(F.col("node").alias("key"), F.col("comp").alias("grp"))
+    held = materialise(crowd.select("key", "n", "comp").distinct().join(groups, "key"), "crowd")
+    blocks = F.greatest(F.ceil(F.count("*") / UNIT_TEXTS), F.ceil(F.sum("n") / UNIT_SHINGLES)).cast("int")
+    sizes = materialise(held.groupBy("grp").agg(blocks.alias("blocks")), "crowd-sizes")
+    dealt = held.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("grp", "block", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    units = dealt.join(texts, "key").select("grp", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "key", "comp", "packed")
+    return materialise(units.repartition(n, "grp", "a", "b").sortWithinPartitions("grp", "a", "b", "key").mapInArrow(_units(words, threshold), "u long, v long"), "crowd-links")
+
+
 def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, least, comp) of every class of equal sets of shingles: its smallest id and its component."""
     spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -372,9 +446,14 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
     sets = materialise(rows.mapInArrow(_read(words), _READ), "shingle-sets")
     classes = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _PRINT))
     classes = materialise(classes, "shingle-classes")
-    parts = max(n, classes.count() * TABLES * (SEGMENT // 2 + 1) // PART_ENTRIES)
-    blocks = classes.select("key", *_PRINT).mapInArrow(_tables(parts), "part int, entries binary").repartition(n, "part").sortWithinPartitions("part")
-    members = materialise(blocks.mapInArrow(_fetch, "key long").distinct(), "near-members")
+    # those that the first word's tables find are named once, there; in the others' they only meet the rest
+    members, known, size = None, classes.withColumn("known", F.lit(False)), classes.count()
+    for tables in (range(PER_WORD), range(PER_WORD, TABLES)):
+        parts = max(n, size * len(tables) * (SEGMENT // 2 + 1) // PART_ENTRIES)
+        blocks = known.select("key", "known", *_PRINT).mapInArrow(_tables(parts, tables), "part int, entries binary").repartition(n, "part").sortWithinPartitions("part")
+        found = materialise(blocks.mapInArrow(_fetch, "key long").distinct(), "near-members")
+        members = members.unionByName(found) if members else found
+        known = classes.join(found.withColumn("known", F.lit(True)), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     texts = sets.select("key", "packed").join(members, "key", "left_semi").groupBy("key").agg(F.first("packed").alias("packed"))
     texts = materialise(texts, "member-texts")
     rare = materialise(_rare(texts, words, threshold), "rare-shingles")
@@ -383,8 +462,8 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
     links, comps, turn = classes.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0), classes.select("key", F.col("key").alias("comp")).limit(0), 0
     while True:
         placed = materialise(rare.join(comps, "key", "left").select("key", "n", "sh", "place", F.coalesce("comp", "key").alias("comp")), "placed-shingles")
-        apart = materialise(placed.groupBy("sh").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("sh"), "apart")
-        placed = materialise(placed.join(apart, "sh", "left_semi"), "apart-shingles")
+        apart = materialise(placed.groupBy("sh").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("holders")).where("a <> b").select("sh", "holders"), "apart")
+        placed = materialise(placed.join(apart, "sh"), "apart-shingles")
         side = lambda x: placed.select("sh", *(F.col(c).alias(to) for c, to in (("key", x), ("n", f"n{x}"), ("place", f"place_{x}"), ("comp", f"c{x}"))))
         if turn == ROUNDS:
             break
@@ -396,9 +475,12 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, words: int, thresho
         links, turn = links.unionByName(found), turn + 1
         comps = materialise(connected_components(links).withColumnRenamed("node", "key"), "near-comps")
 
-    # every pair of those that are still apart
+    # every pair of those that are still apart: of shingles with few holders as rows, of the others in units of many texts
+    crowd, placed = placed.where(F.col("holders") > PAIRED).select("key", "n", "sh", "comp"), placed.where(F.col("holders") <= PAIRED)
     rest = side("u").join(side("v"), "sh").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).where(_can_reach(threshold))
     more = _verified(rest, classes, texts, words, threshold, "rest")
+    if not crowd.isEmpty():
+        more = more.unionByName(_crowd_links(crowd, texts, words, threshold))
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more)).withColumnRenamed("node", "key")
     return sets.select("doc_id", "key"), materialise(classes.join(comps, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp")), "near-placed")
@@ -411,8 +493,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segment and under the small ball of values with one zero bit set. Classes that share a table value and whose next two words are near are candidates.
     Links are lost by chance only, at every size of the table alike: at 0.8 some 15 bits of 100 differ, and two such texts meet in none of the 12
     tables 6 times in 1000. Candidates are paired where they share one of their rare shingles and can still reach the threshold: in rounds with one
-    holder of the shingle from another component, ROUNDS of them at most, then all that are still apart; so a cluster of near copies does not
-    cost all its pairs. Pairs are compared by their complete fingerprints and then by the sets themselves, so no link is false. A text without words is only like others without words.
+    holder of the shingle from another component, ROUNDS of them at most, then all that are still apart: where a shingle has more than PAIRED
+    holders by _crowd_links, which compares sets in units of up to 2 * UNIT_TEXTS texts and gives the links that unite them; so a cluster of near copies makes
+    no row for each of its pairs. Other pairs are compared by their complete fingerprints and then by the sets themselves, so no link is false. A text without
+    words is only like others without words.
     """
     with passing(df.sparkSession):
         sets, placed = _near_classes(df, id_col, text_col, words, threshold)
