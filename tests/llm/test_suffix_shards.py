@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewright.llm import suffix_array as sa
@@ -48,3 +49,25 @@ def test_a_passage_in_many_documents(spark, hot):
     texts += [(100, None), (101, ""), (102, long[:200] + long[200:]), (103, "=" * 900), (104, "=" * 399), (105, (some(30) * 40)[:1000]), (106, end + "x" * 5), (107, "y" * 4 + end)]
     rows = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), hot=hot).collect()
     assert {tuple(r) for r in rows} == set(removed(texts)) and len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("level", [0, 2])
+def test_only_what_contexts_of_an_anchor_share_is_sorted(monkeypatch, level):
+    """Contexts of one anchor that agree on 360, 399, 400, 401 and 500 bytes about it; the same flags as with all bytes in one suffix array, and fewer sorted."""
+    rng, rows = random.Random(2), []
+    for shared in (360, 399, 400, 401, 500) * 6:
+        passage = rng.randbytes(shared)
+        for copies in (1, 1, 3):
+            data = rng.randbytes(300) + passage + rng.randbytes(300)
+            rows += [(h, len(rows) + k, copies, n, data[s : s + n - 1 + suffix_dedup.LENGTH]) for k, (h, s, n) in enumerate(suffix_dedup.contexts(data, level))]
+    rows.sort()
+    every = suffix_dedup.repeated_starts([(raw, n, copies) for _, _, copies, n, raw in rows])
+    want = {(h, c): suffix_dedup._spans(f) for (h, c, *_), f in zip(rows, every) if f.any()}
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: sizes.append(len(s)) or sort(s))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["h", "c", "copies", "n", "raw"])
+    found = [r for b in suffix_dedup._shards(iter([batch.slice(0, 100), batch.slice(100)]), *[level] * (level > 0)) for r in b.to_pylist()]
+    assert {(r["h"], r["c"]): [(x["a"], x["b"]) for x in r["spans"]] for r in found} == want and len(found) == len(want)
+    assert any(c == 1 and (h, k) in want for h, k, c, *_ in rows)
+    assert 0 < sum(sizes) < 0.4 * sum(len(x[4]) for x in rows)
