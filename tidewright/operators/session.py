@@ -4,7 +4,7 @@ Variables are put into a statement's text when it is compiled, so a later SET do
 the changed DataFrame; every FLATTEN changes it is written out, which bounds its lineage. @@ROWCOUNT is counted only where a script reads it.
 
 A joined UPDATE or DELETE finds the values of the target's columns that it mentions and meets the target by these: rows that agree in them
-fare alike, so neither row numbers nor a copy of the target are needed. A statement's own TOP PERCENT is taken by ranges of the sort keys.
+fare alike, so neither row numbers nor a copy of the target are needed. TOP PERCENT, of a statement or in it, is taken by ranges of the sort keys.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from ..frontend.nodes import Node
 from ..frontend.parser import deep, parse
-from ..plans.compiler import CompileError, Compiler, cast, literal, plain, quoted, spark_type, without
+from ..plans.compiler import CompileError, Compiler, cast, literal, plain, quoted, spark_type, ticked, up_to
 from ..sources.tables import scratch_table
 
 FLATTEN = 16
+# A range of at most so many rows is sorted in one task to be cut, a larger one is divided again.
+FEW = 1 << 17
 # System variables of a session in which nothing has failed and no transaction is open.
 SYSTEM = {"@@error": ("0", "int"), "@@trancount": ("0", "int"), "@@identity": ("CAST(NULL AS DECIMAL(38,0))", "decimal"), "@@fetch_status": ("0", "int")}
 
@@ -42,6 +46,7 @@ class Session:
         self.changes: dict[str, int] = {}
         self.messages: list[str] = []
         self.outputs: dict[str, object] = {}
+        self.taken = 0
         self.rows: Callable[[], int] = lambda: 0
         for name, df in tables.items():
             self._put(name, df)
@@ -80,8 +85,8 @@ class Session:
         return out
 
     # helpers
-    def _compiler(self) -> Compiler:
-        return Compiler(self._table, self._variable, self.functions, **self.flags)
+    def _compiler(self, percent: bool = True) -> Compiler:
+        return Compiler(self._table, self._variable, self.functions, **self.flags, percent=self._percent if percent else None)
 
     def _variable(self, name: str) -> tuple[str, str]:
         key = name.lower()
@@ -154,34 +159,77 @@ class Session:
     _run_setoperator = _run_select
 
     def _result(self, s: Node) -> DataFrame:
-        if s.kind == "SelectStatement" and s.get("percent") and s.get("orderBy") and not s.get("ties"):
-            return self._top_percent(s)
         return self._spark_sql(self._compiler().query(s)[0])
 
-    def _top_percent(self, s: Node) -> DataFrame:
-        """The first rows by ranges: sorted ranges are written once and counted, whole ranges are taken, and the one with the cut by its own order."""
-        c = self._compiler()
-        if s.incomplete:
-            raise CompileError("; ".join(s.errors))
-        head, columns, body, env, _ = c.parts(s)
-        keys, by = c.sort_keys(s, env)
-        inner = self._spark_sql(f"{head}{', '.join(columns + keys)} {body}")
-        order = [F.col(f"__o{k}").desc() if o.direction == "DESC" else F.col(f"__o{k}").asc() for k, o in enumerate(s.orderBy)]
-        plainly = [F.col(quoted(x)) for x in inner.columns]
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = inner.withColumn("__t", F.xxhash64(*plainly)).repartitionByRange(parts, *order, "__t").withColumn("__p", F.spark_partition_id())
-        ranged = scratch_table(ranged, "ranges")
-        counts = sorted(ranged.groupBy("__p").count().collect())
-        left = self._spark_sql(f"SELECT ceil({c.expr(s.top, env)} * {sum(n for _, n in counts)} / 100.0D)").first()[0]
-        whole, cut = -1, None
-        for p, n in counts:
-            if n > left:
-                cut = ranged.where(F.col("__p") == p).orderBy(*order, "__t").limit(left)
+    def _percent(self, inner: str, down: list[bool], share: str, ties: bool) -> str | None:
+        """The text of the first rows of a query whose last columns are its sort keys, which are taken now; None where the query does not stand alone
+        or has columns that cannot be written."""
+        try:
+            df, share = self._spark_sql(inner), self._spark_sql(share)
+            names = df.columns[: len(df.columns) - len(down)]
+            cols, keys = [f"c{k}" for k in range(len(names))], [f"__o{k}" for k in range(len(down))]
+            df = df.toDF(*cols, *keys)
+            empty = {f.name for f in df.schema if isinstance(f.dataType, NullType)}  # columns that hold nothing and order nothing
+            down = {k: d for k, d in enumerate(down) if keys[k] not in empty}
+            hashed = [F.col(f.name) for f in df.schema if f.name not in empty and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+            df = df.drop(*empty).withColumn("__t", F.xxhash64(*hashed) if hashed else F.lit(0))
+            ranges = self._ranges(df, down)
+        except AnalysisException:
+            return None
+        taken = self._first(ranges, down, share)
+        if ties:
+            last = (taken.orderBy(*self._order(down, back=True)) if down else taken).limit(1).select(*(F.col(f"__o{k}").alias(f"__l{k}") for k in down))
+            taken = ranges.crossJoin(F.broadcast(last)).where(up_to(down))
+        self.taken += 1
+        view = f"tw_{self.id}__percent_{self.taken}"
+        taken.createOrReplaceTempView(view)
+        text = ", ".join(f"{'NULL' if c in empty else ticked(c)} AS {ticked(n)}" for c, n in zip(cols, names))
+        by = ", ".join(f"`__o{k}` {'DESC' if d else 'ASC'}" for k, d in down.items())
+        return f"SELECT {text} FROM {ticked(view)}" + (f" ORDER BY {by}" if by else "")
+
+    @staticmethod
+    def _order(down: dict[int, bool], back: bool = False) -> list[Column]:
+        return [F.col(f"__o{k}").desc() if d != back else F.col(f"__o{k}").asc() for k, d in down.items()]
+
+    def _ranges(self, df: DataFrame, down: dict[int, bool]) -> DataFrame:
+        """The rows written by ranges `__p` of the sort keys and, among equal ones, of the rows' hash `__t`; as they lie where nothing orders them."""
+        parts = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        ranged = df.repartitionByRange(parts, *self._order(down), "__t") if down else df
+        return scratch_table(ranged.withColumn("__p", F.spark_partition_id()), "ranges")
+
+    def _first(self, ranges: DataFrame, down: dict[int, bool], share: DataFrame) -> DataFrame:
+        """The first rows, as many as the share says: whole ranges, and of the one with the cut, which is divided until it is small, its own first rows.
+        No task sorts more than FEW rows, and rows equal to each other need no sort."""
+        taken, left, order = [], None, [*self._order(down), F.col("__t").asc()]
+        while True:
+            counts = sorted(ranges.groupBy("__p").count().collect())
+            if left is None:
+                left = max(0, share.selectExpr(f"ceil(`n` * {sum(n for _, n in counts)}L / 100.0D)").first()[0] or 0)
+            whole, cut = -1, None
+            for p, n in counts:
+                if n > left:
+                    cut = n, ranges.where(F.col("__p") == p)
+                    break
+                whole, left = p, left - n
+            taken.append(ranges.where(F.col("__p") <= whole))
+            if cut is None or not left:
                 break
-            whole, left = p, left - n
-        taken = ranged.where(F.col("__p") <= whole)
-        taken = taken.unionByName(cut) if cut is not None else taken
-        return taken.orderBy(*order).selectExpr(without([*keys, "x AS `__t`", "x AS `__p`"]))
+            n, rest = cut
+            if n <= FEW or not down:
+                taken.append((rest.repartition(1).sortWithinPartitions(*order) if down else rest).limit(left))  # a sort that can spill, where a top-n cannot
+                break
+            if len(counts) == 1:  # not divided, as nearly all of its rows equal its last one
+                by = [*(f"__o{k}" for k in down), "__t"]
+                end = rest.orderBy(*self._order(down, back=True), F.col("__t").desc()).limit(1).select(*(F.col(k).alias(f"__e{k}") for k in by))
+                both = rest.crossJoin(F.broadcast(end))
+                is_end = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__e{k}")) for k in by))
+                rest = both.where(~is_end).select(*ranges.columns)
+                n = rest.count()
+                if n <= left:
+                    taken += [rest, both.where(is_end).select(*ranges.columns).limit(left - n)]
+                    break
+            ranges = self._ranges(rest.drop("__p"), down)
+        return reduce(DataFrame.unionByName, taken)
 
     def _run_with(self, s: Node, out: list[DataFrame]) -> None:
         if s.body.kind not in ("InsertStatement", "UpdateStatement", "DeleteStatement"):
@@ -293,7 +341,7 @@ class Session:
             outer = dict(self.variables)
             for p in s.parameters:
                 self.variables[p.name.lower()] = (quoted("p_" + p.name[1:].lower()), spark_type(p.dataType).lower())
-            c = self._compiler()
+            c = self._compiler(percent=False)  # a function's tables are read when it is called
             given = ", ".join(f"{quoted('p_' + p.name[1:].lower())} {spark_type(p.dataType)}" for p in s.parameters)
             body = c.query(s.result)[0] if s.returns == "TABLE" else c.expr(s.result, [])
             self.variables = outer
